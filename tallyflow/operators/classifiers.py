@@ -206,9 +206,12 @@ def soft_vote(df: DataFrame, prob_cols: list[str], weights: list[float] | None =
     """Average probability arrays of several models and take the largest class."""
     weights = weights or [1.0] * len(prob_cols)
     total = sum(weights)
+    def add(mean, c, share):
+        return F.zip_with(mean, F.col(c), lambda a, b: a + b * share)
+
     mean = F.transform(F.col(prob_cols[0]), lambda v: v * (weights[0] / total))
     for c, w in zip(prob_cols[1:], weights[1:]):
-        mean = F.zip_with(mean, F.col(c), lambda a, b, w=w: a + b * (w / total))
+        mean = add(mean, c, w / total)
     return df.withColumn("probability", mean).withColumn("prediction", argmax("probability"))
 
 

@@ -27,11 +27,11 @@ def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
     listed = gathered.select(
         F.array_sort(F.array_distinct(F.concat(F.transform("c", lambda s: s["y"]),
                                                F.transform("c", lambda s: s["p"])))).alias("classes"),
-        F.map_from_entries(F.transform("c", lambda s: F.struct(F.struct(s["y"], s["p"]), s["n"]))).alias("m"))
+        F.map_from_entries(F.transform("c", lambda s: F.struct(F.struct(s["y"].alias("y"), s["p"].alias("p")), s["n"]))).alias("m"))
     truths = listed.select("m", "classes", F.explode("classes").alias("truth"))
     cells = truths.select("m", "truth", F.explode("classes").alias("predicted"))
     return cells.select("truth", "predicted",
-                        F.coalesce(F.element_at("m", F.struct("truth", "predicted")), F.lit(0))
+                        F.coalesce(F.element_at("m", F.struct(F.col("truth").alias("y"), F.col("predicted").alias("p"))), F.lit(0))
                         .cast("bigint").alias("n"))
 
 

@@ -114,21 +114,21 @@ def conv_features(seq: str | Column, kernels: list[tuple[list[float], float]], p
     """1-D convolution (no padding), ReLU and max-pooling of an array column for every
     (weights, bias) kernel, the maps laid end to end. Incomplete pools at the end are dropped."""
     x = F.col(seq) if isinstance(seq, str) else seq
-    maps = []
-    for weights, bias in kernels:
+
+    def one(weights, bias):
         size = len(weights)
-        steps = F.sequence(F.lit(1), F.size(x) - (size - 1))
 
-        def respond(i, weights=weights, bias=bias):
+        def respond(i):
             total = F.lit(float(bias))
             for j, w in enumerate(weights):
                 total = total + F.element_at(x, i + j) * F.lit(float(w))
             return F.greatest(F.lit(0.0), total)
 
-        conv = F.transform(steps, respond)
+        conv = F.transform(F.sequence(F.lit(1), F.size(x) - (size - 1)), respond)
         pools = F.sequence(F.lit(0), F.floor((F.size(x) - (size - 1)) / pool).cast("int") - 1)
-        maps.append(F.transform(pools, lambda j, c=conv: F.array_max(F.slice(c, j * pool + 1, pool))))
-    return F.flatten(F.array(*maps)) if len(maps) > 1 else maps[0]
+        return F.transform(pools, lambda j: F.array_max(F.slice(conv, j * pool + 1, F.lit(pool))))
+
+    return F.flatten(F.array(*[one(w, b) for w, b in kernels]))
 
 
 def conv_bank(df: DataFrame, seq: str, kernels: list[tuple[np.ndarray, np.ndarray]], pool: int = 2,

@@ -20,7 +20,8 @@ from tallyflow.operators.noise import keyed_uniform
 from tallyflow.operators.sums import matrix_sums
 from tallyflow.sources.storage import durable
 
-ROWS_PER_SEGMENT = 50_000
+ROWS_PER_SEGMENT = 20_000
+_STATE_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,17 @@ def pack_segments(df: DataFrame, series_id: str, t: str, x: str, y: str | None =
         F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("rows"))
 
 
+def _slices(pdf: pd.DataFrame, spec: SeriesSpec):
+    """Segments of similar length together, few enough for their states to fit in memory."""
+    order = pdf["rows"].map(len).sort_values(ascending=False, kind="stable").index
+    at = 0
+    while at < len(order):
+        longest = len(pdf["rows"][order[at]])
+        step = max(1, _STATE_BYTES // (8 * longest * (spec.units + spec.inputs + 3 * spec.outputs)))
+        yield pdf.loc[order[at:at + step]]
+        at += step
+
+
 def _unpack(rows: pd.Series, spec: SeriesSpec, taught: bool):
     """Padded (segments, steps, ...) inputs and targets plus the segment lengths."""
     n = np.array([len(r) for r in rows])
@@ -148,9 +160,7 @@ def _settle(packed: DataFrame, spec: SeriesSpec, readout: np.ndarray | None, sta
     starts_now = durable(ids)
 
     def ends(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (part for batch in batches for part in _slices(batch, spec)):
             x, y, n = _unpack(pdf["rows"], spec, taught)
             _, _, _, _, s, prev = _run(x, y, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(),
                                        np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
@@ -204,16 +214,18 @@ def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str,
     segments, last = _settle(packed, spec, None, None, tol)
 
     def normal_equations(batch):
-        pdf = batch.to_pandas()
-        xx, yy, n = _unpack(pdf["rows"], spec, True)
-        states, xs, ys, *_ = _run(xx, yy, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(),
-                                  np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
-                                  pdf["place"].to_numpy() == 0, spec)
-        steps = np.arange(xx.shape[1])
-        used = steps[None, :] < n[:, None]
-        used &= (pdf["place"].to_numpy() > 0)[:, None] | (steps >= spec.transient)[None, :]
-        a = np.concatenate([states, xs, ys], axis=2)[used]
-        return {0: a.T @ a}
+        total = 0.0
+        for pdf in _slices(batch.to_pandas(), spec):
+            xx, yy, n = _unpack(pdf["rows"], spec, True)
+            place = pdf["place"].to_numpy()
+            states, xs, ys, *_ = _run(xx, yy, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(),
+                                      np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
+                                      place == 0, spec)
+            steps = np.arange(xx.shape[1])
+            used = (steps[None, :] < n[:, None]) & ((place > 0)[:, None] | (steps >= spec.transient)[None, :])
+            a = np.concatenate([states, xs, ys], axis=2)[used]
+            total = total + a.T @ a
+        return {0: total}
 
     g = matrix_sums(segments, normal_equations)[0]
     d = spec.units + spec.inputs
@@ -223,9 +235,7 @@ def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str,
 
 def _predict(segments: DataFrame, spec: SeriesSpec, readout: np.ndarray, taught: bool) -> DataFrame:
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (part for batch in batches for part in _slices(batch, spec)):
             x, y, n = _unpack(pdf["rows"], spec, taught)
             states, xs, _, outputs, *_ = _run(
                 x, y, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(), np.stack(pdf["state"].to_numpy()),
