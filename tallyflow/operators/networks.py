@@ -124,9 +124,9 @@ def conv_features(seq: str | Column, kernels: list[tuple[list[float], float]], p
                 total = total + F.element_at(x, i + j) * F.lit(float(w))
             return F.greatest(F.lit(0.0), total)
 
-        conv = F.transform(F.sequence(F.lit(1), F.size(x) - (size - 1)), respond)
         pools = F.sequence(F.lit(0), F.floor((F.size(x) - (size - 1)) / pool).cast("int") - 1)
-        return F.transform(pools, lambda j: F.array_max(F.slice(conv, j * pool + 1, F.lit(pool))))
+        # each pool works out its own responses, so no map is built more than once
+        return F.transform(pools, lambda j: F.array_max(F.array(*[respond(j * pool + i) for i in range(1, pool + 1)])))
 
     return F.flatten(F.array(*[one(w, b) for w, b in kernels]))
 
