@@ -18,12 +18,13 @@ def spark():
 
 @pytest.fixture(scope="session")
 def planted(spark):
-    """Three well separated Gaussian classes in four dimensions, one constant column, one string
+    """Three well separated Gaussian classes in four dimensions (means not on one line, which a linear
+    indicator regression cannot tell apart), one constant column, one string
     column and a class label in mixed case."""
     rng = np.random.default_rng(0)
     names, rows = ["DNS", "lime", "x11"], []
     for i in range(300):
         c = i % 3
-        x = rng.normal(size=4) * 0.3 + np.array([c, -c, 2 * c, 0])
+        x = rng.normal(size=4) * 0.3 + np.array([c, 2 * (c == 1), 2 * c, 0])
         rows.append((i, *map(float, x), 7.0, "text", names[c]))
     return spark.createDataFrame(rows, "row_id long, f0 double, f1 double, f2 double, f3 double, flat double, note string, label string")
