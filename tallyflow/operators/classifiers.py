@@ -7,7 +7,6 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyflow.functions import argmax
 from tallyflow.operators.combine import union_slices
+from tallyflow.operators.passes import held
 
 PARALLEL_FITS = 4
 
@@ -57,39 +57,35 @@ def perceptron(layers: list[int], features="features", label="y", **p):
                                           **{"maxIter": 100, "seed": 0, **p})
 
 
-def _fit(estimator, train: DataFrame):
-    """Fit with the training columns held in memory or on local disk for the passes of the fit."""
-    cols = [estimator.getFeaturesCol(), estimator.getLabelCol()]
-    held = train.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return estimator.fit(held)
-    finally:
-        held.unpersist()
+def fit_held(estimator, train: DataFrame):
+    """Fit with the training columns held for the passes of the fit."""
+    with held(train.select(estimator.getFeaturesCol(), estimator.getLabelCol())) as rows:
+        return estimator.fit(rows)
 
 
 def fit_decision_tree(train, features="features", label="y", **p):
-    return _fit(decision_tree(features, label, **p), train)
+    return fit_held(decision_tree(features, label, **p), train)
 
 
 def fit_random_forest(train, features="features", label="y", **p):
-    return _fit(random_forest(features, label, **p), train)
+    return fit_held(random_forest(features, label, **p), train)
 
 
 def fit_extra_trees(train, features="features", label="y", **p):
-    return _fit(extra_trees(features, label, **p), train)
+    return fit_held(extra_trees(features, label, **p), train)
 
 
 def fit_logistic_regression(train, features="features", label="y", C=None, **p):
     n = train.count() if C else None
-    return _fit(logistic_regression(features, label, C or 1.0, n, **p), train)
+    return fit_held(logistic_regression(features, label, C or 1.0, n, **p), train)
 
 
 def fit_linear_svm(train, features="features", label="y", C: float = 1.0, **p):
-    return _fit(linear_svm(features, label, C, train.count(), **p), train)
+    return fit_held(linear_svm(features, label, C, train.count(), **p), train)
 
 
 def fit_perceptron(train, layers, features="features", label="y", **p):
-    return _fit(perceptron(layers, features, label, **p), train)
+    return fit_held(perceptron(layers, features, label, **p), train)
 
 
 # ---- kernel machines through random features -------------------------------------------------
@@ -186,20 +182,17 @@ def calibrate(base, df: DataFrame, label: str = "y", margin: str = "rawPredictio
     """Platt scaling: per class a one-feature logistic regression of class membership on the
     margin of a fitted model; the class probabilities are then normalised."""
     scored = base.transform(df).select(vector_to_array(F.col(margin)).alias("m"), F.col(label).alias("t"))
-    held = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        k = held.select(F.size("m")).first()[0]
+    with held(scored) as rows:
+        k = rows.select(F.size("m")).first()[0]
 
         def curve(i):
-            one = held.select(array_to_vector(F.array(F.element_at("m", i + 1))).alias("x"),
+            one = rows.select(array_to_vector(F.array(F.element_at("m", i + 1))).alias("x"),
                               (F.col("t") == i).cast("double").alias("y"))
             fit = LogisticRegression(featuresCol="x", labelCol="y", maxIter=50, family="binomial").fit(one)
             return float(fit.coefficients[0]), float(fit.intercept)
 
         with ThreadPool(min(k, PARALLEL_FITS)) as pool:
             return CalibratedModel(base, pool.map(curve, range(k)), margin)
-    finally:
-        held.unpersist()
 
 
 def soft_vote(df: DataFrame, prob_cols: list[str], weights: list[float] | None = None) -> DataFrame:
@@ -227,16 +220,13 @@ def probability_array(scored: DataFrame, out: str) -> DataFrame:
 
 def out_of_fold(df: DataFrame, estimator, fold_col: str) -> DataFrame:
     """Prediction for every row by the model that was fitted without the row's fold. Fits run
-    in parallel; held-out parts are scored lazily and appended."""
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    folds = [r[0] for r in held.select(fold_col).distinct().orderBy(fold_col).collect()]
-
-    def one(f):
-        model = estimator.fit(held.filter(F.col(fold_col) != f))
-        return model.transform(held.filter(F.col(fold_col) == f)).select(*df.columns, "prediction")
-
-    with ThreadPool(min(len(folds), PARALLEL_FITS)) as pool:
-        return union_slices(pool.map(one, folds))
+    in parallel on held rows; the held-out parts are scored lazily from the source."""
+    with held(df) as rows:
+        folds = [r[0] for r in rows.select(fold_col).distinct().orderBy(fold_col).collect()]
+        with ThreadPool(min(len(folds), PARALLEL_FITS)) as pool:
+            models = pool.map(lambda f: estimator.fit(rows.filter(F.col(fold_col) != f)), folds)
+    return union_slices([m.transform(df.filter(F.col(fold_col) == f)).select(*df.columns, "prediction")
+                         for f, m in zip(folds, models)])
 
 
 def cross_val_accuracy(df: DataFrame, estimator, fold_col: str, label: str = "y") -> DataFrame:
@@ -253,13 +243,10 @@ def mean_score(scores: DataFrame) -> DataFrame:
 def grid_search(df: DataFrame, estimator, grid: list, fold_col: str, parallelism: int = PARALLEL_FITS) -> DataFrame:
     """(params, accuracy, is_best) per grid point, by cross validation on a given fold column."""
     judge = MulticlassClassificationEvaluator(labelCol=estimator.getLabelCol(), metricName="accuracy")
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(df) as rows:
         found = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge, foldCol=fold_col,
-                               numFolds=held.select(F.max(fold_col)).first()[0] + 1,
-                               parallelism=parallelism).fit(held)
-    finally:
-        held.unpersist()
+                               numFolds=rows.select(F.max(fold_col)).first()[0] + 1,
+                               parallelism=parallelism).fit(rows)
     best = int(np.argmax(found.avgMetrics))
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(g.items(), key=lambda e: e[0].name)), float(m), i == best)
             for i, (g, m) in enumerate(zip(grid, found.avgMetrics))]
@@ -281,7 +268,7 @@ def forest_importance(df: DataFrame, cols: list[str], features="features", label
     """Rank table of a forest fitted on all rows; entropy splits and seed 123 by default."""
     make = extra_trees if extra else random_forest
     options = {"seed": 123, **({} if extra else {"impurity": "entropy"}), **p}
-    return feature_rank(_fit(make(features, label, **options), df), cols, df.sparkSession)
+    return feature_rank(fit_held(make(features, label, **options), df), cols, df.sparkSession)
 
 
 def select_from_model(df: DataFrame, rank_df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyflow.functions import draw
+from tallyflow.functions import clip, draw
 from tallyflow.functions.columns import clip_array
 from tallyflow.sources.storage import durable
 
@@ -80,6 +80,10 @@ def _at(arr, i: Column) -> Column:
     return F.element_at(F.col(arr) if isinstance(arr, str) else arr, i + 1)
 
 
+def _d(arr: str, i: int) -> Column:
+    return F.element_at(arr, i + 1)
+
+
 def _best(pop: DataFrame, x: str, f: str, name: str) -> DataFrame:
     """Best candidate per run, ties to the smaller id."""
     return pop.groupBy("run_id").agg(F.min(F.struct(F.col(f).alias("f"), "cand_id", F.col(x).alias("x"))).alias("_m")) \
@@ -108,12 +112,11 @@ def step_pso(pop: DataFrame, space: Sequence[Dim], gen: int, seed, omega: float
              phig: float = 0.5) -> DataFrame:
     """Particle swarm: inertia plus pulls to the own best and to the run's best."""
     led = pop.join(_best(pop, "pbest_x", "pbest_f", "gbest"), "run_id")
-    v = F.transform("x", lambda a, i: (
-        F.lit(omega) * _at("v", i) + F.lit(phip) * _u(seed, gen, i, 0) * (_at("pbest_x", i) - a)
-        + F.lit(phig) * _u(seed, gen, i, 1) * (_at("gbest", i) - a)))
-    led = led.withColumn("v", v)
-    moved = clip_array(F.zip_with("x", "v", lambda a, b: a + b), *_bounds(space))
-    return _advance(led, gen, moved, v=F.col("v"), pbest_x=F.col("pbest_x"), pbest_f=F.col("pbest_f"))
+    led = led.withColumn("v", F.array(*[
+        F.lit(omega) * _d("v", i) + F.lit(phip) * _u(seed, gen, i, 0) * (_d("pbest_x", i) - _d("x", i))
+        + F.lit(phig) * _u(seed, gen, i, 1) * (_d("gbest", i) - _d("x", i)) for i in range(len(space))]))
+    moved = [clip(_d("x", i) + _d("v", i), d.low, d.high) for i, d in enumerate(space)]
+    return _advance(led, gen, F.array(*moved), v=F.col("v"), pbest_x=F.col("pbest_x"), pbest_f=F.col("pbest_f"))
 
 
 def step_pso2(pop: DataFrame, whole: Sequence[bool], redraw: Sequence[bool], gen: int, seed, w: float = 1.7,
@@ -121,9 +124,9 @@ def step_pso2(pop: DataFrame, whole: Sequence[bool], redraw: Sequence[bool], gen
     """Swarm without bounds: the move is rounded (halves to even) on ``whole`` dimensions, the
     new value is made positive, and a zero on ``redraw`` dimensions is drawn anew from 5..49."""
     led = pop.join(_best(pop, "pbest_x", "pbest_f", "gbest"), "run_id")
-    led = led.withColumn("v", F.transform("x", lambda a, i: (
-        F.lit(w) * _at("v", i) + F.lit(c1) * _u(seed, gen, i, 0) * (_at("pbest_x", i) - a)
-        + F.lit(c2) * _u(seed, gen, i, 1) * (_at("gbest", i) - _at("pbest_x", i)))))
+    led = led.withColumn("v", F.array(*[
+        F.lit(w) * _d("v", i) + F.lit(c1) * _u(seed, gen, i, 0) * (_d("pbest_x", i) - _d("x", i))
+        + F.lit(c2) * _u(seed, gen, i, 1) * (_d("gbest", i) - _d("pbest_x", i)) for i in range(len(whole))]))
     points = []
     for i in range(len(whole)):
         move = F.element_at("v", i + 1)
@@ -147,14 +150,14 @@ def step_gwo(pop: DataFrame, space: Sequence[Dim], gen: int, gens: int, seed,
     led = pop.join(lead, "run_id")
     a = 2.0 - gen * (2.0 / gens)
 
-    def pull(cur, i, k):
-        best = _at(F.element_at("_l", F.least(F.lit(k + 1), F.size("_l")))["x"], i)
+    def pull(i, k):
+        best = F.element_at(F.element_at("_l", F.least(F.lit(k + 1), F.size("_l")))["x"], i + 1)
         reach = F.lit(2.0 * a) * _u(seed, gen, i, 2 * k) - F.lit(a)
         sway = F.lit(2.0) * _u(seed, gen, i, 2 * k + 1)
-        return best - reach * F.abs(sway * best - cur)
+        return best - reach * F.abs(sway * best - _d("x", i))
 
-    x = F.transform("x", lambda cur, i: (pull(cur, i, 0) + pull(cur, i, 1) + pull(cur, i, 2)) / F.lit(3.0))
-    return _advance(led, gen, clip_array(x, *_bounds(space)))
+    x = [clip((pull(i, 0) + pull(i, 1) + pull(i, 2)) / F.lit(3.0), d.low, d.high) for i, d in enumerate(space)]
+    return _advance(led, gen, F.array(*x))
 
 
 def _gathered(pop: DataFrame) -> DataFrame:

@@ -196,13 +196,13 @@ def vote_parts(train, test, classes, n_rows, svm_c=1.0, trees=30, lr_c=1.0, lr_i
     """Test rows with the probability arrays of the five voters."""
     models = {"p_svm": clf.fit_poly_svm(train, "vec", C=svm_c, size=64, maxIter=10),
               "p_rf": clf.fit_random_forest(train, numTrees=trees, maxDepth=8),
-              "p_lr": clf._fit(clf.logistic_regression(C=lr_c, n=n_rows, maxIter=lr_iter), train),
+              "p_lr": clf.fit_held(clf.logistic_regression(C=lr_c, n=n_rows, maxIter=lr_iter), train),
               "p_lda": linear.discriminant_fit(train, "vec", "y", classes)}
     out = test
     for name, m in models.items():
         out = clf.probability_array(m.transform(out), name)
-    pairs = neighbours.knn_join(test, train, "vec", "row_id", "row_id", k)
-    knn = neighbours.knn_probability(pairs, train, "row_id", "y", classes).withColumnRenamed("probability", "p_knn")
+    pairs = neighbours.knn_join(test, train, "vec", "row_id", "row_id", k, carry="y")
+    knn = neighbours.knn_probability(pairs, classes).withColumnRenamed("probability", "p_knn")
     return out.join(knn.withColumnRenamed("query_id", "row_id"), "row_id")
 
 

@@ -17,10 +17,11 @@ _LO, _HI = [20, 0, 0, 0], [50, 1, 1, 1]
 
 
 def populations(spark, sf):
-    """Candidates drawn by key; the order price stands for the fitness."""
+    """Candidates drawn by key; the order price stands for the fitness. The rows are placed by
+    population while they are still narrow, so a step needs no shuffle of its own."""
     df = table(spark, sf, "orders").select(
         F.floor(F.col("o_orderkey") / POP).cast("bigint").alias("run_id"), (F.col("o_orderkey") % POP).alias("cand_id"),
-        F.col("o_totalprice").alias("fitness"))
+        F.col("o_totalprice").alias("fitness")).repartition("run_id")
     x = search.sample_space(SPACE, 0, 0, F.col("run_id"), F.col("cand_id"))
     return df.select("run_id", F.lit(GEN).alias("gen"), "cand_id", x.alias("x"), "fitness")
 

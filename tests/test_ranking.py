@@ -70,6 +70,11 @@ def test_sample_is_exact_and_repeatable(skewed, limit):
     assert sampling.sample_n(skewed, 0, 4, "id").count() == 0 and sampling.sample_n(skewed, 9999, 4, "id").count() == 3000
 
 
+def test_shuffle_order_depends_on_ids_only(skewed):
+    a, b = ([r["id"] for r in sampling.shuffle_rows(d, 1, "id").collect()] for d in (skewed, skewed.repartition(2)))
+    assert a == b and sorted(a) == list(range(3000)) and a != sorted(a)
+
+
 def test_holdout_parts_are_disjoint_and_complete(skewed):
     train, test = sampling.holdout_head(skewed, "c", {"big": 0.2}, ["v", "id"])
     a, b = ({r["id"] for r in d.collect()} for d in (train, test))
