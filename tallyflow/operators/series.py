@@ -55,9 +55,10 @@ class SeriesSpec:
 
 
 def pack_segments(df: DataFrame, series_id: str, t: str, x: str, y: str | None = None,
-                  rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
-    """(series_id, seg, rows): ordered runs of (t, x, y). Only series longer than a segment are
-    cut, at quantiles of their own time axis; (series, t) must be unique."""
+                  rows_per_segment: int = ROWS_PER_SEGMENT) -> tuple[DataFrame, bool]:
+    """(frame (series_id, seg, rows) of ordered runs of (t, x, y), whether any series was cut).
+    Only series longer than a segment are cut, at quantiles of their own time axis; (series, t)
+    must be unique."""
     target = F.col(y) if y is not None else F.lit(None).cast("array<double>")
     rows = df.select(F.col(series_id).cast("bigint").alias("series_id"), F.col(t).cast("double").alias("t"),
                      F.col(x).cast("array<double>").alias("x"), target.cast("array<double>").alias("y"))
@@ -72,12 +73,13 @@ def pack_segments(df: DataFrame, series_id: str, t: str, x: str, y: str | None =
         long = sizes.filter(F.col("n") > rows_per_segment).select("series_id")
         cuts = (rows.join(long, "series_id", "left_semi").groupBy("series_id")
                 .agg(F.array_distinct(F.percentile_approx("t", probes, max(10_000, 10 * pieces))).alias("cuts")))
+        cuts = durable(cuts)   # sketches may differ when recomputed; every row must see the same cuts
         placed = rows.join(cuts, "series_id", "left")
         cut = placed.withColumn("seg", F.coalesce(
             F.size(F.filter("cuts", lambda c: c < F.col("t"))), F.lit(0))).drop("cuts")
         cut = cut.withColumn("seg", F.when(F.col("seg") < 0, 0).otherwise(F.col("seg")))
     return cut.groupBy("series_id", "seg").agg(
-        F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("rows"))
+        F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("rows")), longest > rows_per_segment
 
 
 def _slices(pdf: pd.DataFrame, spec: SeriesSpec):
@@ -92,19 +94,27 @@ def _slices(pdf: pd.DataFrame, spec: SeriesSpec):
 
 
 def _unpack(rows: pd.Series, spec: SeriesSpec, taught: bool):
-    """Padded (segments, steps, ...) inputs and targets plus the segment lengths."""
+    """Padded (segments, steps, ...) inputs and targets, the segment lengths and the times."""
     n = np.array([len(r) for r in rows])
     longest = int(n.max())
     x = np.zeros((len(rows), longest, spec.inputs))
     y = np.zeros((len(rows), longest, spec.outputs))
+    times = np.zeros((len(rows), longest))
     for i, r in enumerate(rows):
         x[i, :n[i]] = np.stack([e["x"] for e in r])
+        times[i, :n[i]] = [e["t"] for e in r]
         if taught:
             y[i, :n[i]] = np.stack([e["y"] for e in r])
-    return x, y, n
+    return x, y, n, times
 
 
-def _run(x, y, n, ids, segs, state, last_y, first, spec: SeriesSpec, readout=None):
+def noise_keys(ids: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Noise belongs to (series, time), whatever segment or micro-batch a row is in."""
+    with np.errstate(over="ignore"):
+        return np.asarray(ids).astype(np.int64) * np.int64(1_000_003) + np.asarray(times, dtype=np.float64).view(np.int64)
+
+
+def _run(x, y, n, ids, times, state, last_y, first, spec: SeriesSpec, readout=None):
     """States of padded segments. With ``readout`` the output feeds back instead of ``y``.
     A series' very first training row keeps the zero state."""
     w, w_in, w_fb = spec.weights()
@@ -114,14 +124,13 @@ def _run(x, y, n, ids, segs, state, last_y, first, spec: SeriesSpec, readout=Non
     states = np.zeros((len(x), steps, spec.units))
     outputs = np.zeros_like(ys)
     s, prev = state.copy(), last_y.copy()
-    keys = ids.astype(np.int64) * 1_000_003 + segs.astype(np.int64)
     for t in range(steps):
         pre = s @ w.T + xs[:, t] @ w_in.T
         if spec.teacher_forcing:
             pre += prev @ w_fb.T
         new = np.tanh(pre)
         if spec.noise:
-            new += spec.noise * (keyed_uniform(keys, t, spec.units, spec.seed) - 0.5)
+            new += spec.noise * (keyed_uniform(noise_keys(ids, times[:, t]), 0, spec.units, spec.seed) - 0.5)
         if readout is None and t == 0:
             new = np.where(first[:, None], 0.0, new)
         live = (t < n)[:, None]
@@ -132,11 +141,33 @@ def _run(x, y, n, ids, segs, state, last_y, first, spec: SeriesSpec, readout=Non
     return states, xs, ys, outputs, s, prev
 
 
-def _settle(packed: DataFrame, spec: SeriesSpec, readout: np.ndarray | None, starts: DataFrame | None,
+def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray | None, starts: DataFrame | None,
             tol: float) -> tuple[DataFrame, DataFrame]:
     """(segments with exact starts, last state and output per series)."""
     taught = readout is None
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+
+    def ends(batches):
+        for pdf in (part for batch in batches for part in _slices(batch, spec)):
+            x, y, n, times = _unpack(pdf["rows"], spec, taught)
+            _, _, _, _, s, prev = _run(x, y, n, pdf["series_id"].to_numpy(), times,
+                                       np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
+                                       pdf["place"].to_numpy() == 0, spec, readout)
+            yield pd.DataFrame({"series_id": pdf["series_id"], "seg": pdf["seg"], "end_s": list(s), "end_y": list(prev)})
+
+    schema = "series_id bigint, seg int, end_s array<double>, end_y array<double>"
+    if not cut:
+        whole = packed.withColumn("place", F.lit(0)).withColumn("state", zeros(spec.units)) \
+            .withColumn("prev_y", zeros(spec.outputs))
+        if starts is not None:
+            known = starts.select("series_id", F.col("state").alias("s0"), F.col("prev_y").alias("y0"))
+            whole = whole.join(known, "series_id", "left").withColumn("state", F.coalesce("s0", "state")) \
+                .withColumn("prev_y", F.coalesce("y0", "prev_y")).drop("s0", "y0")
+        if taught:
+            whole = durable(whole)
+        return whole, whole.mapInPandas(ends, schema).select(
+            "series_id", F.col("end_s").alias("state"), F.col("end_y").alias("prev_y"))
+    packed = durable(packed)
     order = Window.partitionBy("series_id").orderBy("seg")
     # numbering and chaining look at one record per segment, never at rows
     ids = packed.select("series_id", "seg").withColumn("place", F.row_number().over(order) - 1)
@@ -156,18 +187,7 @@ def _settle(packed: DataFrame, spec: SeriesSpec, readout: np.ndarray | None, sta
                 .withColumn("state", F.when(head, F.coalesce("s0", "state")).otherwise(F.col("state"))) \
                 .withColumn("prev_y", F.when(head, F.coalesce("y0", "prev_y")).otherwise(F.col("prev_y"))) \
                 .drop("s0", "y0")
-    packed = durable(packed)
     starts_now = durable(ids)
-
-    def ends(batches):
-        for pdf in (part for batch in batches for part in _slices(batch, spec)):
-            x, y, n = _unpack(pdf["rows"], spec, taught)
-            _, _, _, _, s, prev = _run(x, y, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(),
-                                       np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
-                                       pdf["place"].to_numpy() == 0, spec, readout)
-            yield pd.DataFrame({"series_id": pdf["series_id"], "seg": pdf["seg"], "end_s": list(s), "end_y": list(prev)})
-
-    schema = "series_id bigint, seg int, end_s array<double>, end_y array<double>"
     pending, reached = starts_now, None
     while True:
         ran = durable(packed.join(pending, ["series_id", "seg"]).mapInPandas(ends, schema))
@@ -210,15 +230,15 @@ class SeriesModel:
 def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str, spec: SeriesSpec,
                          rows_per_segment: int = ROWS_PER_SEGMENT, tol: float = 1e-12) -> SeriesModel:
     """One readout for all series, from the summed normal equations of (state, input) -> target."""
-    packed = pack_segments(df, series_id, t, x, y, rows_per_segment)
-    segments, last = _settle(packed, spec, None, None, tol)
+    packed, cut = pack_segments(df, series_id, t, x, y, rows_per_segment)
+    segments, last = _settle(packed, cut, spec, None, None, tol)
 
     def normal_equations(batch):
         total = 0.0
         for pdf in _slices(batch.to_pandas(), spec):
-            xx, yy, n = _unpack(pdf["rows"], spec, True)
+            xx, yy, n, times = _unpack(pdf["rows"], spec, True)
             place = pdf["place"].to_numpy()
-            states, xs, ys, *_ = _run(xx, yy, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(),
+            states, xs, ys, *_ = _run(xx, yy, n, pdf["series_id"].to_numpy(), times,
                                       np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
                                       place == 0, spec)
             steps = np.arange(xx.shape[1])
@@ -236,9 +256,9 @@ def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str,
 def _predict(segments: DataFrame, spec: SeriesSpec, readout: np.ndarray, taught: bool) -> DataFrame:
     def run(batches):
         for pdf in (part for batch in batches for part in _slices(batch, spec)):
-            x, y, n = _unpack(pdf["rows"], spec, taught)
+            x, y, n, times = _unpack(pdf["rows"], spec, taught)
             states, xs, _, outputs, *_ = _run(
-                x, y, n, pdf["series_id"].to_numpy(), pdf["seg"].to_numpy(), np.stack(pdf["state"].to_numpy()),
+                x, y, n, pdf["series_id"].to_numpy(), times, np.stack(pdf["state"].to_numpy()),
                 np.stack(pdf["prev_y"].to_numpy()), pdf["place"].to_numpy() == 0, spec, None if taught else readout)
             hat = np.concatenate([states, xs], axis=2) @ readout if taught else outputs
             hat = (hat - spec.teacher_shift) / spec.teacher_scaling
@@ -256,6 +276,6 @@ def series_continue(model: SeriesModel, df: DataFrame, series_id: str, t: str, x
     """(series_id, t, y_hat) for new inputs. Each series starts from its last training state and
     output (or from zero) and its own output is fed back. A cut series is exact: with ``tol=0``
     rounds go on until every start equals the end before it."""
-    packed = pack_segments(df, series_id, t, x, None, rows_per_segment)
-    segments, _ = _settle(packed, model.spec, model.readout, model.last if continuation else None, tol)
+    packed, cut = pack_segments(df, series_id, t, x, None, rows_per_segment)
+    segments, _ = _settle(packed, cut, model.spec, model.readout, model.last if continuation else None, tol)
     return _predict(segments, model.spec, model.readout, taught=False)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallyflow.operators.noise import keyed_uniform
-from tallyflow.operators.series import SeriesModel
+from tallyflow.operators.series import SeriesModel, noise_keys
 
 
 def continue_stream(model: SeriesModel, stream: DataFrame, series_id: str, t: str, x: str) -> DataFrame:
@@ -24,26 +24,23 @@ def continue_stream(model: SeriesModel, stream: DataFrame, series_id: str, t: st
     def run(key, frames, state):
         pdf = pd.concat(list(frames)).sort_values("t")
         if state.exists:
-            s, prev, at = (np.array(v) for v in state.get)
-            at = int(at)
+            s, prev = (np.array(v) for v in state.get)
         else:
             s0, y0 = pdf["s0"].iloc[0], pdf["y0"].iloc[0]
             s = np.array(s0) if s0 is not None else np.zeros(spec.units)
             prev = np.array(y0) if y0 is not None else np.zeros(spec.outputs)
-            at = 0
         hats = []
-        for value in pdf["x"]:
+        for at, value in zip(pdf["t"].to_numpy(), pdf["x"]):
             xs = np.asarray(value) * spec.input_scaling + spec.input_shift
             pre = w @ s + w_in @ xs + (w_fb @ prev if spec.teacher_forcing else 0.0)
             s = np.tanh(pre)
             if spec.noise:
-                s = s + spec.noise * (keyed_uniform(np.array([key[0] * 1_000_003]), at, spec.units, spec.seed)[0] - 0.5)
+                s = s + spec.noise * (keyed_uniform(noise_keys(np.array([key[0]]), np.array([at])), 0, spec.units, spec.seed)[0] - 0.5)
             prev = np.concatenate([s, xs]) @ readout
             hats.append(list((prev - spec.teacher_shift) / spec.teacher_scaling))
-            at += 1
-        state.update((list(map(float, s)), list(map(float, prev)), at))
+        state.update((list(map(float, s)), list(map(float, prev))))
         yield pd.DataFrame({"series_id": key[0], "t": pdf["t"].to_numpy(), "y_hat": hats})
 
     return rows.groupBy("series_id").applyInPandasWithState(
         run, "series_id bigint, t double, y_hat array<double>",
-        "s array<double>, y array<double>, at bigint", "append", GroupStateTimeout.NoTimeout)
+        "s array<double>, y array<double>", "append", GroupStateTimeout.NoTimeout)

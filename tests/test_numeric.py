@@ -156,6 +156,15 @@ def test_series_regression_equals_the_sequential_run(spark, waves, segment):
     assert all(np.allclose(last[s], parts[s][2], atol=1e-10) for s in parts)
 
 
+def test_noise_does_not_depend_on_the_segments(waves):
+    noisy = series.SeriesSpec(units=12, rho=0.7, noise=0.1, seed=5)
+    runs = []
+    for segment in (10_000, 40):
+        model = series.series_reservoir_fit(waves, "s", "t", "x", "y", noisy, rows_per_segment=segment)
+        runs.append({r["series_id"]: r["state"] for r in model.last.collect()})
+    assert all(np.allclose(runs[0][s], runs[1][s], atol=1e-10) for s in (1, 2, 3))
+
+
 def free_run(model, start, xs):
     w, w_in, w_fb = SPEC.weights()
     s, prev = start
