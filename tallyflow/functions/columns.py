@@ -2,6 +2,8 @@
 Spark's own higher-order functions; none is a Python UDF."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -70,9 +72,12 @@ def draw(seed, *parts) -> Column:
     return F.conv(F.substring(_key(seed, parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def hash_fraction(row_id, seed) -> Column:
-    """Uniform draw in [0, 1) per row id."""
-    return draw(seed, _col(row_id))
+def draw_below(frac: float, seed, *parts) -> Column:
+    """``draw(seed, *parts) < frac`` as a plain comparison of hex digits."""
+    limit = math.ceil(float(frac) * 4294967296)
+    if limit >= 4294967296:
+        return F.lit(True)
+    return F.substring(_key(seed, parts), 1, 8) < F.lit(f"{max(0, limit):08x}")
 
 
 def hash60(row_id, seed) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyflow.operators.ranking import ROWS_PER_TASK, running_totals
+from tallyflow.sources.storage import durable
 
 
 def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -89,13 +90,18 @@ def binary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
                     ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"))
 
 
+def _per_score(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Positive and negative rows per distinct score. Stored once: the ranges, their totals and
+    the running sums all read it, and the source is scanned a single time."""
+    return durable(df.groupBy(F.col(score).alias("threshold")).agg(
+        F.sum((F.col(y) == 1).cast("int")).cast("bigint").alias("pos"),
+        F.sum((F.col(y) != 1).cast("int")).cast("bigint").alias("neg")))
+
+
 def roc_curve(df: DataFrame, y: str, score: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at every distinct score, from the highest down."""
-    per = df.groupBy(F.col(score).alias("threshold")).agg(
-        F.sum((F.col(y) == 1).cast("int")).cast("bigint").alias("pos"),
-        F.sum((F.col(y) != 1).cast("int")).cast("bigint").alias("neg"))
-    total = df.agg(F.sum((F.col(y) == 1).cast("int")).alias("p"),
-                   F.sum((F.col(y) != 1).cast("int")).alias("n")).first()
+    per = _per_score(df, y, score)
+    total = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     run = running_totals(per, "threshold", ["pos", "neg"], descending=True, rows_per_task=rows_per_task)
     share = lambda c, n: (F.col(c) / F.lit(float(n)) if n else F.lit(0.0))
     return run.select("threshold", F.col("cum_pos").cast("bigint").alias("tp"),
@@ -105,9 +111,7 @@ def roc_curve(df: DataFrame, y: str, score: str, rows_per_task: int = ROWS_PER_T
 
 def roc_auc(df: DataFrame, y: str, score: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Chance that a positive row scores above a negative one, ties counted half."""
-    per = df.groupBy(F.col(score).alias("threshold")).agg(
-        F.sum((F.col(y) == 1).cast("int")).cast("bigint").alias("pos"),
-        F.sum((F.col(y) != 1).cast("int")).cast("bigint").alias("neg"))
+    per = _per_score(df, y, score)
     run = running_totals(per, "threshold", ["pos"], descending=True, rows_per_task=rows_per_task)
     above = (F.col("cum_pos") - F.col("pos")).cast("double") + F.col("pos") / 2.0
     return run.agg((F.sum(F.col("neg") * above) / (F.sum("pos").cast("double") * F.sum("neg").cast("double")))

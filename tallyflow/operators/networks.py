@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyflow.functions import draw
+from tallyflow.functions import draw_below
 from tallyflow.operators.classifiers import fit_perceptron
 from tallyflow.operators.noise import keyed_uniform
 from tallyflow.operators.sums import matrix_of, matrix_sums, vector_of
@@ -20,7 +20,7 @@ def noise_augment(df: DataFrame, cols: list[str], rate: float, seed, row_id: str
     """Blank each value with probability ``rate``; kept values grow by ``1 / (1 - rate)``, so the
     mean stays. The draw depends on seed, row id and column name."""
     def noisy(c):
-        return F.when(draw(seed, F.col(row_id), c) < rate, F.lit(0.0)).otherwise(F.col(c) / F.lit(1.0 - rate))
+        return F.when(draw_below(rate, seed, F.col(row_id), c), F.lit(0.0)).otherwise(F.col(c) / F.lit(1.0 - rate))
     return df.select(*[noisy(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyflow.functions import hash60, hash_fraction
+from tallyflow.functions import draw_below, hash60
 from tallyflow.operators.ranking import (
     ROWS_PER_TASK, at_or_before, group_counts, order_thresholds, ranked_by_hash,
 )
@@ -55,9 +55,8 @@ def holdout_head(df: DataFrame, label: str, fractions: dict, order_by: list[str]
 
 def sample_by_class(df: DataFrame, label: str, fractions: dict, seed, row_id: str) -> DataFrame:
     """Keep each row of class c with probability ``fractions[c]``."""
-    u = hash_fraction(row_id, seed)
     keep = reduce(lambda a, b: a | b,
-                  [(F.col(label) == F.lit(c)) & (u < F.lit(float(f))) for c, f in fractions.items()])
+                  [(F.col(label) == F.lit(c)) & draw_below(f, seed, F.col(row_id)) for c, f in fractions.items()])
     return df.filter(keep)
 
 
@@ -83,7 +82,7 @@ def split_hash(df: DataFrame, row_id: str, test_frac: float = 0.5, seed=0,
                out: str = "is_test") -> DataFrame:
     """Flag a random test part. The flag is a column, so scaled and raw columns of one frame
     share it."""
-    return df.withColumn(out, hash_fraction(row_id, seed) < F.lit(float(test_frac)))
+    return df.withColumn(out, draw_below(test_frac, seed, F.col(row_id)))
 
 
 def split_ordered(df: DataFrame, order_by: list[str], frac: float = 0.8, out: str = "is_test",
