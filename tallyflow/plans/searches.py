@@ -220,7 +220,9 @@ def reservoir_objective(train, test, classes, k=5):
 
 @query("search_reservoir")
 def _(spark, sf):
-    train, test = halves(durable(vectors(spark, sf).select("row_id", "vec", "y", "is_test")))
+    # stored once, spread by id: every generation makes three compute-heavy passes over these rows
+    rows = vectors(spark, sf).select("row_id", "vec", "y", "is_test").repartition("row_id")
+    train, test = halves(durable(rows))
     _, _, history = search.population_search(spark, SPACE, reservoir_objective(train, test, 10), "pso", 4, 2, seed=1)
     return search.search_trace(history)
 

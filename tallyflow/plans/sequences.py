@@ -7,6 +7,8 @@ from tallyflow.operators import classifiers as clf
 from tallyflow.operators import reservoir, sampling, semi, series
 from tallyflow.plans.models import halves, order_rows, scored, vectors
 from tallyflow.plans.registry import hash60_sql, query, r6, table
+from tallyflow.sources import work_path
+from tallyflow.streaming import continue_stream
 
 RHO, SCALE = 0.9, 0.7
 
@@ -105,6 +107,20 @@ def _(spark, sf):
     return series.series_continue(model, test, "user_id", "t", "x")
 
 
+@query("series_continue_stream")
+def _(spark, sf):
+    """The continuation fed by a file stream: new rows land in a folder, results go to a folder."""
+    model, test = fit_users(spark, sf)
+    landing, out, marks = (work_path(spark, n) for n in ("landing", "continued", "marks"))
+    arrived = test.select("user_id", "t", "x")
+    arrived.write.parquet(landing)
+    stream = spark.readStream.schema(arrived.schema).parquet(landing)
+    run = continue_stream(model, stream, "user_id", "t", "x").writeStream.outputMode("append").format("parquet") \
+        .option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # ---- pseudo-labels ----------------------------------------------------------------------------
 
 def labelled_and_pool(spark, sf):
