@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyflow.functions import clip, draw
 from tallyflow.functions.columns import clip_array
-from tallyflow.sources.storage import durable
 
 
 @dataclass(frozen=True)
@@ -275,6 +274,12 @@ def search_trace(history: DataFrame) -> DataFrame:
                       F.min("best_fitness").over(w).alias("best_so_far"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A searched population as plain rows without lineage. Its size is the population size times
+    the generations, both parameters of the search; the data being searched over never comes here."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 Objective = Callable[[list[list[float]]], list[float]]
 
 
@@ -288,8 +293,8 @@ def evaluate(pop: DataFrame, scored: DataFrame | None, objective: Objective) ->
     fresh = [list(r["x"]) for r in unscored(pop, scored).collect()]
     if fresh:
         values = [float(v) for v in objective(fresh)]
-        scored = durable(scored.unionByName(spark.createDataFrame(list(zip(fresh, values)), kind)))
-    return durable(with_fitness(pop, scored).select(*pop.columns)), scored
+        scored = _settled(scored.unionByName(spark.createDataFrame(list(zip(fresh, values)), kind)))
+    return _settled(with_fitness(pop, scored).select(*pop.columns)), scored
 
 
 def population_search(spark: SparkSession, space: Sequence[Dim], objective: Objective, rule: str, pop: int, gens: int,
@@ -298,9 +303,9 @@ def population_search(spark: SparkSession, space: Sequence[Dim], objective: Obje
     stops early once a new best is closer than ``min_step`` or better by less than ``min_gain``."""
     now, scored = evaluate(init_population(spark, space, pop, seed), None, objective)
     if rule in ("pso", "pso2"):
-        now = durable(with_memory(now))
+        now = _settled(with_memory(now))
     base = ["run_id", "gen", "cand_id", "x", "fitness"]
-    history = durable(now.select(*base))
+    history = _settled(now.select(*base))
     best = history.orderBy("fitness", "gen", "cand_id").first()
     for gen in range(gens):
         if rule == "pso":
@@ -318,10 +323,10 @@ def population_search(spark: SparkSession, space: Sequence[Dim], objective: Obje
             moved = step_ga(now, space, gen, seed, pop, **options)
         else:
             raise ValueError(f"unknown rule {rule!r}")
-        now, scored = evaluate(durable(moved), scored, objective)
+        now, scored = evaluate(_settled(moved), scored, objective)
         if rule in ("pso", "pso2"):
-            now = durable(update_memory(now))
-        history = durable(history.unionByName(now.select(*base)))
+            now = _settled(update_memory(now))
+        history = _settled(history.unionByName(now.select(*base)))
         top = now.orderBy("fitness", "cand_id").first()
         if top["fitness"] < best["fitness"]:
             step = sum((a - b) ** 2 for a, b in zip(top["x"], best["x"])) ** 0.5
