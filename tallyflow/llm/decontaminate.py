@@ -79,7 +79,7 @@ def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
     rows = rows.withColumn("size", F.when(length >= WINDOW, WINDOW).when(length >= SHORT, SHORT)).filter("size IS NOT NULL")
     rows = rows.withColumn("h", F.when(F.col("size") == WINDOW, F.col("h8")).otherwise(F.col("h4")))
     places = F.zip_with(F.col("canon"), F.col("words"), lambda c, w: F.when(F.startswith(c, F.lit("<")), _value(w)))
-    one = rows.withColumn("values", places).select("item_id", "size", "values", F.posexplode("h").alias("item_pos", "h"))
+    one = rows.withColumn("values", places).select("item_id", "size", "values", F.posexplode_outer("h").alias("item_pos", "h")).filter("h IS NOT NULL")
     at = F.transform(F.slice("values", F.col("item_pos") + 1, F.col("size")), lambda v, j: F.struct((j + F.col("item_pos")).alias("place"), v.alias("value")))
     one = one.withColumn("slots", F.filter(at, lambda s: s["value"].isNotNull())).filter(F.size("slots") * 2 <= F.col("size"))
     total = one.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
@@ -102,7 +102,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most two
     hits = None
     for size in sizes:
-        found = (cut.select("doc_id", "text_key", F.posexplode(f"h{size}").alias("pos", "h"))
+        # the outer form: for the plain one Spark infers a filter on the array and computes the template twice
+        found = (cut.select("doc_id", "text_key", F.posexplode_outer(f"h{size}").alias("pos", "h")).filter("h IS NOT NULL")
                  .join(near(known.filter(F.col("size") == size).select("h", "item_id", "item_pos", "n_windows")), "h").drop("h"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
