@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import decontaminate, language, ngram_join, packing, quality, token_files
+from tallyflow.llm import decontaminate, language, ngram_join, packing, quality, simhash, token_files, toxicity
 from tallyflow.llm.frames import remainder
 from tallyflow.sources.storage import work_path
 
@@ -62,3 +62,16 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
+
+
+@query("op9_simhash")
+def op9(spark, sf_dir):
+    return simhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op10_nearest_examples")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return (toxicity.score(docs, model).withColumn("held_out", remainder("doc_id", 3) == 1)
+            .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
