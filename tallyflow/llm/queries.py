@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import decontaminate, language, ngram_join, packing, quality, simhash, token_files, toxicity
+from tallyflow.llm import decontaminate, hmm, language, ngram_join, packing, quality, simhash, token_files, toxicity, url_lists
 from tallyflow.llm.frames import remainder
 from tallyflow.sources.storage import work_path
 
@@ -75,3 +75,51 @@ def op10(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
     return (toxicity.score(docs, model).withColumn("held_out", remainder("doc_id", 3) == 1)
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
+
+
+@query("op8_hidden_markov")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model, counts = hmm.fit(docs, remainder("doc_id", 7) != 2)
+    return hmm.score(docs, model, counts).withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
+def _list_changes(pages: DataFrame) -> DataFrame:
+    """A dated list drawn from the hosts of the pages: three changes each of the host, the host under its first label and a path of it."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    labels = F.split("host", r"\.")
+    entries = hosts.select(F.explode(F.array(F.col("host"), F.array_join(F.slice(labels, 2, F.size(labels)), "."), F.concat("host", F.lit("/en/")))).alias("entry")).distinct()
+    rows = entries.select("entry", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("j"))
+    digest = F.md5(F.concat_ws("|", "entry", F.col("j").cast("string")))
+    part = lambda start, by: F.conv(F.substring(digest, start, 4), 16, 10).cast("int") % by
+    return rows.select("entry", F.when(part(1, 10) < 6, "add").otherwise("remove").alias("action"), F.concat(F.lit("c"), part(5, 4).cast("string")).alias("category"),
+                       F.timestamp_seconds(F.lit(1_704_067_200) + part(9, 365) * 86_400).alias("at"))
+
+
+OP4_SQL = r"""
+WITH pages_h AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path, 1704067200 + page_id * 7919 % 31536000 AS s FROM pages),
+hosts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM pages_h WHERE host <> ''),
+entries AS (SELECT DISTINCT unnest([host, array_to_string(l[2:], '.'), host || '/en/']) AS entry FROM hosts),
+digests AS (SELECT entry, md5(concat_ws('|', entry, j::VARCHAR)) AS d FROM entries, (VALUES (0), (1), (2)) t(j)),
+changes AS (SELECT entry, ('0x' || substr(d, 1, 4))::INT % 10 < 6 AS is_add, 'c' || (('0x' || substr(d, 5, 4))::INT % 4)::VARCHAR AS category,
+                   1704067200 + ('0x' || substr(d, 9, 4))::INT % 365 * 86400 AS t FROM digests),
+one AS (SELECT entry, t, max({'is_add': is_add, 'category': category}) AS c FROM changes GROUP BY ALL),
+spans AS (SELECT entry, c.category AS category, c.is_add AS is_add, t AS t0, lead(t) OVER (PARTITION BY entry ORDER BY t) AS t1 FROM one),
+keyed AS (SELECT DISTINCT page_id, s, unnest(list_concat(
+            list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+            CASE WHEN path = '' THEN [] ELSE list_transform(range(1, len(string_split(path, '/'))), lambda i: host || array_to_string(string_split(path, '/')[:i], '/') || '/') END)) AS entry
+          FROM pages_h WHERE host <> ''),
+found AS (SELECT page_id, max({'n': length(entry), 'entry': entry, 'category': category, 't0': t0}) AS b, count(*) AS hits
+          FROM keyed JOIN spans USING (entry) WHERE is_add AND s >= t0 AND (t1 IS NULL OR s < t1) GROUP BY page_id)
+SELECT page_id, url, s::BIGINT AS fetched_s, b IS NOT NULL AS listed, b.entry AS list_entry, b.category AS list_category, b.t0::BIGINT AS listed_from_s,
+       coalesce(hits, 0)::BIGINT AS active_entries FROM pages_h LEFT JOIN found USING (page_id)"""
+
+
+@query("op4_temporal_lists", OP4_SQL)
+def op4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    seconds = F.lit(1_704_067_200) + F.col("page_id") * 7919 % 31_536_000
+    out = url_lists.evaluate(pages.withColumn("fetched_at", F.timestamp_seconds(seconds)), _list_changes(pages))
+    return out.select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_s"), "listed", "list_entry", "list_category", F.unix_seconds("listed_from").alias("listed_from_s"), "active_entries")
