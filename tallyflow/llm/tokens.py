@@ -15,7 +15,7 @@ import pyarrow as pa
 from tallyflow.llm.text import words
 
 #: Distinct pieces kept by a Python worker before it starts again with none.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _RARE = np.zeros(256, bool)
 _RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _OTHER_SPACE = {chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
@@ -70,7 +70,9 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and row offsets in them."""
         _, ends, _ = words(data, offsets)
-        cuts = np.union1d(ends, offsets).astype(np.int64)
+        cut = np.zeros(data.size + 1, bool)
+        cut[ends] = cut[offsets] = True
+        cuts = np.flatnonzero(cut)
         n = cuts.size - 1
         if n <= 0:
             return np.zeros(0, np.uint32), np.zeros(offsets.size, np.int64)
