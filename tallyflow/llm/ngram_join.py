@@ -33,6 +33,8 @@ from tallyflow.llm.text import chunks, mix, word_hashes, words
 
 BOX = 64
 LEAF_MEMBERS, LEAF_BYTES = 512, 1 << 20
+#: Members of families up to which they are broadcast to the texts (about 40 bytes each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 _STEP = 1.5
 _TURNS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _EDGES: dict[int, np.ndarray] = {}
@@ -51,7 +53,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist()):
         if b - a >= k:
-            out.append(np.unique(rolled[a:b - k + 1]))
+            x = np.sort(rolled[a:b - k + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
         elif b > a:
             out.append(mix((h[a:b] * _TURNS[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
         else:
@@ -117,27 +120,27 @@ def points(docs: DataFrame, k: int, percent: int, text: str = "text", doc_id: st
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes next to each other in the order of (key, node) that share the key. Keys
-    of any frequency are spread, as ranges end anywhere; the ends of ranges are joined afterwards."""
+    """Edges (a, b) from the first node with a key, in the order of (key, node), to the others with it. Keys of any
+    frequency are spread, as ranges may end anywhere; a key that runs on is joined to the range before by the ends of ranges."""
     def run(batches):
         from pyspark import TaskContext
 
-        part, last, first = TaskContext.get().partitionId(), None, None
+        part, head, first = TaskContext.get().partitionId(), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            if last is None:
-                first = (int(key[0]), int(node[0]))
-            else:
-                key, node = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], node])
-            last = (int(key[-1]), int(node[-1]))
-            hit = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
-            pairs = np.unique(np.stack([node[:-1][hit], node[1:][hit]], axis=1), axis=0)
-            none = np.full(len(pairs), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(none)], names=["a", "b", "place"])
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([first[0], last[0]]), pa.array([first[1], last[1]]), pa.array([2 * part, 2 * part + 1])], names=["a", "b", "place"])
+            first = first or (int(key[0]), int(node[0]))
+            begins = np.append(True, key[1:] != key[:-1])
+            lead = node[np.maximum.accumulate(np.where(begins, np.arange(key.size), 0))]
+            if head and head[0] == key[0]:
+                lead[:int(np.argmin(key == key[0])) or key.size] = head[1]
+            head = (int(key[-1]), int(lead[-1]))
+            hit = lead != node
+            pairs = np.unique(np.stack([lead[hit], node[hit]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), -1))], names=["a", "b", "place"])
+        if head:
+            yield pa.RecordBatch.from_arrays([pa.array([first[0], head[0]]), pa.array([first[1], head[1]]), pa.array([2 * part, 2 * part + 1])], names=["a", "b", "place"])
 
     out = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, place long"), "neighbours")
     ends = out.filter("place >= 0")  # two rows per range
@@ -248,7 +251,8 @@ def links_between(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int)
 
 
 def _forest(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of leaf pairs as (a, b, links): a spanning forest of nodes with 0 links, and (node, node, links)."""
+    """Links within leaves and of leaf pairs as (a, b, links): every linked node with the smallest of its group there and
+    0 links, and (node, node, links). Rows without ``b_sizes`` are single leaves."""
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
@@ -260,7 +264,6 @@ def _forest(rows: DataFrame, percent: int) -> DataFrame:
                 copies = np.array(v["a_copies"] + ([] if one else v["b_copies"]))
                 links = np.zeros(len(nodes), np.int64)
                 root = list(range(len(nodes)))
-                edges = []
 
                 def find(i):
                     while root[i] != i:
@@ -276,10 +279,14 @@ def _forest(rows: DataFrame, percent: int) -> DataFrame:
                         x, y = find(i), find(j)
                         if x != y:
                             root[x] = y
-                            edges.append((nodes[i], nodes[j]))
                 some = np.flatnonzero(links)
                 named = np.array(nodes, np.int64)[some]
-                left, right = (np.array([e[s] for e in edges], np.int64) for s in (0, 1))
+                lowest: dict[int, int] = {}
+                tops = [find(i) for i in some.tolist()]
+                for top, node in zip(tops, named.tolist()):
+                    lowest[top] = min(node, lowest.get(top, node))
+                right = np.array([lowest[top] for top in tops], np.int64)
+                left, right = named[named != right], right[named != right]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([left, named])), pa.array(np.concatenate([right, named])),
                                                   pa.array(np.concatenate([np.zeros(left.size, np.int64), links[some]]))], names=["a", "b", "links"])
 
@@ -293,23 +300,23 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     nodes = at.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     rows = at.select(F.explode("keys").alias("key"), "node")
     families = components(_neighbours(rows))
-    few = families.select("node", F.col("component").alias("family")).join(nodes, "node")
+    few = stored(families.select("node", F.col("component").alias("family")).join(nodes, "node"), "members")
+    if few.count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
     texts = docs.select(F.col(name_of(doc_id)).alias("id_of_row"), F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
-    members = few.join(texts, F.col("first_id").eqNullSafe(F.col("id_of_row"))).select("family", "node", "copies", "text")
+    members = texts.join(few, F.col("first_id").eqNullSafe(F.col("id_of_row"))).select("family", "node", "copies", "text")
     leaves = stored(_leaves(members, k), "leaves")
     thin = leaves.select("leaf", "family", "low", "high", "box")
     a, b = (thin.select(*[F.col(c).alias(f"{side}_{c}") for c in thin.columns]) for side in "ab")
     shared = F.aggregate(F.zip_with("a_box", "b_box", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    pairs = stored(a.join(b, (F.col("a_family") == F.col("b_family")) & (F.col("a_leaf") <= F.col("b_leaf"))
-                          & (F.col("a_low") * percent <= F.col("b_high") * 100) & (F.col("b_low") * percent <= F.col("a_high") * 100))
-                   .filter(shared * (100 + percent) >= percent * (F.col("a_low") + F.col("b_low"))).select("a_leaf", "b_leaf"), "leaf-pairs")
+    pairs = (a.join(b, (F.col("a_family") == F.col("b_family")) & (F.col("a_leaf") < F.col("b_leaf"))
+                    & (F.col("a_low") * percent <= F.col("b_high") * 100) & (F.col("b_low") * percent <= F.col("a_high") * 100))
+             .filter(shared * (100 + percent) >= percent * (F.col("a_low") + F.col("b_low"))).select("a_leaf", "b_leaf"))
     body = ["nodes", "copies", "sizes", "sets"]
-    left, right = (leaves.select(F.col("leaf").alias(f"{side}_of"), *[F.col(c).alias(f"{side}_{c}") for c in body]) for side in "ab")
-    full = (pairs.join(left, F.col("a_leaf") == F.col("a_of"))
-            .join(right, (F.col("b_leaf") == F.col("b_of")) & (F.col("a_leaf") != F.col("b_leaf")), "left")
-            .select("a_leaf", "b_leaf", *[f"{side}_{c}" for side in "ab" for c in body]))
-    tasks = max(1, pairs.count() // 8)
-    forest = stored(_forest(full.repartition(tasks, "a_leaf", "b_leaf").drop("a_leaf", "b_leaf"), percent), "forest")
+    left, right = (leaves.select(F.col("leaf").alias(f"{side}_leaf"), *[F.col(c).alias(f"{side}_{c}") for c in body]) for side in "ab")
+    single = left.drop("a_leaf").select("*", *[F.lit(None).cast(leaves.schema[c].dataType).alias(f"b_{c}") for c in body])
+    double = pairs.join(left, "a_leaf").join(right, "b_leaf").drop("a_leaf", "b_leaf")
+    forest = stored(_forest(single, percent).union(_forest(double, percent)), "forest")
     groups = components(forest.filter("a <> b").select("a", "b"))
     lowest = groups.join(nodes, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = (groups.join(lowest, "component").select("node", "component_id")
