@@ -73,7 +73,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "tex
         def flush():
             nonlocal held, bytes_held, block, before
             sizes = [len(h[2]) for h in held]
-            row = ([shard], [block], [held[0][0]], [held[-1][0]], [before], [[h[0] for h in held]], [[h[1] for h in held]],
+            known = [h[0] for h in held if h[0] is not None]
+            row = ([shard], [block], [min(known, default=None)], [max(known, default=None)], [before], [[h[0] for h in held]], [[h[1] for h in held]],
                    [np.concatenate([[0], np.cumsum(sizes)]).tolist()], [b"".join(h[2] for h in held)], [digest])
             before, block, held, bytes_held = before + sum(h[1] for h in held), block + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
