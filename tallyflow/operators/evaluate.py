@@ -91,9 +91,10 @@ def binary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def _per_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Positive and negative rows per distinct score. Stored once: the ranges, their totals and
-    the running sums all read it, and the source is scanned a single time."""
-    return durable(df.groupBy(F.col(score).alias("threshold")).agg(
+    """Positive and negative rows per distinct score; rows whose score is null or NaN have no rank and are left
+    out. Stored once: the ranges, their totals and the running sums all read it, and the source is scanned a single time."""
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    return durable(df.filter(known).groupBy(F.col(score).alias("threshold")).agg(
         F.sum((F.col(y) == 1).cast("int")).cast("bigint").alias("pos"),
         F.sum((F.col(y) != 1).cast("int")).cast("bigint").alias("neg")))
 

@@ -3,13 +3,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame, functions as F
-
-_NUMERIC = ("double", "bigint")
+from pyspark.sql.types import NumericType
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    """Names of the 64-bit float and integer columns, in table order."""
-    return [c for c, t in df.dtypes if t in _NUMERIC]
+    """Names of the columns of any numeric type, in table order."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
 def select_numeric(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

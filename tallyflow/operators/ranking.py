@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType, DoubleType, FloatType, LongType, NumericType, TimestampNTZType, TimestampType
 
 ROWS_PER_TASK = 1_000_000
 _SKETCH = 10_000
@@ -21,25 +22,75 @@ _MARGIN = 1.0 / 2_000
 
 
 def _plain(df: DataFrame, name: str) -> Column:
-    """Order column in a form that survives the trip through the driver."""
-    if dict(df.dtypes)[name].startswith("timestamp"):
+    """Order column as a number."""
+    kind = dict(df.dtypes)[name]
+    if kind.startswith("timestamp"):
         return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name)
+    return F.unix_date(F.col(name)) if kind == "date" else F.col(name)
 
 
 def _literal(df: DataFrame, name: str, value) -> Column:
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
         return F.timestamp_micros(F.lit(value)).cast(kind)
-    return F.lit(value).cast(kind)
+    return F.date_from_unix_date(F.lit(value)) if kind == "date" else F.lit(value).cast(kind)
 
 
 def at_or_before(df: DataFrame, order_by: list[str], values: tuple) -> Column:
-    """Predicate "order key <= values", compared column by column."""
-    name, lit = order_by[0], _literal(df, order_by[0], values[0])
+    """Predicate "order key <= values", compared column by column; null comes first and NaN last. Never null."""
+    name, value = order_by[0], values[0]
+    c = F.col(name)
+    same = c.isNull() if value is None else c.eqNullSafe(_literal(df, name, value))
+    before = F.lit(False) if value is None else c.isNull() | (c < _literal(df, name, value))
     if len(order_by) == 1:
-        return F.col(name) <= lit
-    return (F.col(name) < lit) | ((F.col(name) == lit) & at_or_before(df, order_by[1:], values[1:]))
+        return same if value is None else c.isNull() | (c <= _literal(df, name, value))
+    return before | (same & at_or_before(df, order_by[1:], values[1:]))
+
+
+class _Levels:
+    """The numbers compared one after the other for an order key. A column with nulls starts with whether it
+    is known, one with NaN goes on with whether it is NaN; 64-bit integers are halved, as sketches work on doubles."""
+
+    def __init__(self, df: DataFrame, order_by: list[str]):
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        for name in order_by:
+            if not isinstance(kinds[name], (NumericType, DateType, TimestampType, TimestampNTZType)):
+                raise ValueError(f"order column {name} is {kinds[name].simpleString()}; numbers, dates and timestamps have an order here")
+        real = [name for name in order_by if isinstance(kinds[name], (DoubleType, FloatType))]
+        row = df.agg(*[F.max(F.col(c).isNull()).alias(f"null_{c}") for c in order_by], *[F.max(F.isnan(c)).alias(f"nan_{c}") for c in real]).first()
+        self.columns: list[Column] = []
+        self._parts: list[list[str]] = []
+        for name in order_by:
+            x, parts = _plain(df, name), []
+            if row[f"null_{name}"]:
+                parts.append("known")
+                self.columns.append(F.col(name).isNotNull().cast("int"))
+                x = F.coalesce(x, F.lit(0))
+            if name in real and row[f"nan_{name}"]:
+                parts.append("nan")
+                self.columns.append(F.isnan(x).cast("int"))
+                x = F.nanvl(x.cast("double"), F.lit(0.0))
+            if isinstance(kinds[name], (LongType, TimestampType, TimestampNTZType)):
+                parts += ["high", "low"]
+                self.columns += [F.shiftright(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))]
+            else:
+                parts.append("value")
+                self.columns.append(x)
+            self._parts.append(parts)
+
+    def key(self, values: tuple) -> tuple:
+        """The order key of these numbers; None for null."""
+        out, at = [], 0
+        for parts in self._parts:
+            got = dict(zip(parts, values[at:at + len(parts)]))
+            at += len(parts)
+            if got.get("known") == 0:
+                out.append(None)
+            elif got.get("nan") == 1:
+                out.append(math.nan)
+            else:
+                out.append((got["high"] << 32) + got["low"] if "high" in got else got["value"])
+        return tuple(out)
 
 
 @dataclass
@@ -59,10 +110,12 @@ def order_thresholds(df: DataFrame, order_by: list[str], ranks: dict, counts: di
     """``{(group value, rank): order key}`` for 1-based ranks ``{group value: [rank, ...]}``.
 
     ``counts`` holds the rows per group value (key ``None`` without a group). Order columns must
-    be numeric, date or timestamp and free of nulls; the last should make the order unique.
+    be numeric, date or timestamp, others are refused at any size; nulls come first, NaN last. The last
+    column should make the order unique.
     Every round scans once for a sketch and once for counts, for all requests together, and
     shrinks each range about a thousandfold; ranges below ``rows_per_task`` rows are ranked.
     """
+    levels = _Levels(df, order_by)
     todo, done = [], []
     for g, wanted in ranks.items():
         where = F.lit(True) if group is None else F.col(group) == F.lit(g)
@@ -73,32 +126,31 @@ def order_thresholds(df: DataFrame, order_by: list[str], ranks: dict, counts: di
     while todo:
         wide = [q for q in todo if q.rows > rows_per_task]
         done += [q for q in todo if q.rows <= rows_per_task]
-        todo = _narrow(df, order_by, wide) if wide else []
+        todo = _narrow(df, levels.columns, wide) if wide else []
         done += [q for q in todo if q.key is not None]
         todo = [q for q in todo if q.key is None]
-    _rank_small(df, order_by, [q for q in done if q.key is None])
-    return {(q.group, q.rank): q.key for q in done}
+    _rank_small(df, levels.columns, [q for q in done if q.key is None])
+    return {(q.group, q.rank): levels.key(q.key) for q in done}
 
 
-def _narrow(df: DataFrame, order_by: list[str], requests: list[_Request]) -> list[_Request]:
+def _narrow(df: DataFrame, levels: list[Column], requests: list[_Request]) -> list[_Request]:
     aggs = []
     for i, q in enumerate(requests):
         at = q.left / q.rows
         probes = [max(0.0, at - _MARGIN), min(1.0, at + _MARGIN)]
-        aggs.append(F.percentile_approx(F.when(q.pred, _plain(df, order_by[q.level])), probes, _SKETCH)
+        aggs.append(F.percentile_approx(F.when(q.pred, levels[q.level]), probes, _SKETCH)
                     .alias(f"q{i}"))
     guess = df.agg(*aggs).first()
     counts = []
     for i, q in enumerate(requests):
-        name = order_by[q.level]
-        lo, hi = (_literal(df, name, v) for v in guess[f"q{i}"])
-        counts += [F.count(F.when(q.pred & (F.col(name) < lo), 1)).alias(f"b{i}"),
-                   F.count(F.when(q.pred & (F.col(name) <= hi), 1)).alias(f"u{i}")]
+        c, (lo, hi) = levels[q.level], guess[f"q{i}"]
+        counts += [F.count(F.when(q.pred & (c < F.lit(lo)), 1)).alias(f"b{i}"),
+                   F.count(F.when(q.pred & (c <= F.lit(hi)), 1)).alias(f"u{i}")]
     seen = df.agg(*counts).first()
     for i, q in enumerate(requests):
-        name, (lo, hi) = order_by[q.level], guess[f"q{i}"]
+        c, (lo, hi) = levels[q.level], guess[f"q{i}"]
         below, upto = seen[f"b{i}"], seen[f"u{i}"]
-        c, low, high = F.col(name), _literal(df, name, lo), _literal(df, name, hi)
+        low, high, was = F.lit(lo), F.lit(hi), (q.rows, q.left, q.level)
         if q.left <= below:
             q.pred, q.rows = q.pred & (c < low), below
         elif q.left > upto:
@@ -106,20 +158,21 @@ def _narrow(df: DataFrame, order_by: list[str], requests: list[_Request]) -> lis
         elif lo == hi:
             q.pred, q.rows, q.left = q.pred & (c == low), upto - below, q.left - below
             q.prefix, q.level = q.prefix + (lo,), q.level + 1
-            if q.level == len(order_by):
+            if q.level == len(levels):
                 q.key = q.prefix
         else:
             # a range that will not shrink holds one heavy value beside others: probe its ends
             stuck = upto - below == q.rows
             q.pred, q.rows, q.left = q.pred & (c >= low) & (c <= high), upto - below, q.left - below
             if stuck:
-                _split_heavy(df, order_by, q, lo, hi)
+                _split_heavy(df, levels, q, lo, hi)
+        if was == (q.rows, q.left, q.level) and q.key is None:
+            raise RuntimeError("an order key does not narrow; its values are not told apart as doubles")
     return requests
 
 
-def _split_heavy(df: DataFrame, order_by: list[str], q: _Request, lo, hi) -> None:
-    name = order_by[q.level]
-    c, low, high = F.col(name), _literal(df, name, lo), _literal(df, name, hi)
+def _split_heavy(df: DataFrame, levels: list[Column], q: _Request, lo, hi) -> None:
+    c, low, high = levels[q.level], F.lit(lo), F.lit(hi)
     row = df.agg(F.count(F.when(q.pred & (c == low), 1)).alias("at_lo"),
                  F.count(F.when(q.pred & (c == high), 1)).alias("at_hi")).first()
     middle = q.rows - row["at_hi"]
@@ -133,20 +186,20 @@ def _split_heavy(df: DataFrame, order_by: list[str], q: _Request, lo, hi) -> Non
                                   q.left - row["at_lo"])
         return
     q.level += 1
-    if q.level == len(order_by):
+    if q.level == len(levels):
         q.key = q.prefix
 
 
-def _rank_small(df: DataFrame, order_by: list[str], requests: list[_Request]) -> None:
+def _rank_small(df: DataFrame, levels: list[Column], requests: list[_Request]) -> None:
     if not requests:
         return
     tags = F.array(*[F.when(q.pred, F.lit(i)) for i, q in enumerate(requests)])
     keys = df.select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("_q"),
-                     *[_plain(df, c).alias(f"k{j}") for j, c in enumerate(order_by)])
-    w = Window.partitionBy("_q").orderBy(*[f"k{j}" for j in range(len(order_by))])
+                     *[c.alias(f"k{j}") for j, c in enumerate(levels)])
+    w = Window.partitionBy("_q").orderBy(*[f"k{j}" for j in range(len(levels))])
     wanted = F.element_at(F.array(*[F.lit(q.left) for q in requests]), F.col("_q") + 1)
     for row in keys.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == wanted).collect():
-        requests[row["_q"]].key = tuple(row[f"k{j}"] for j in range(len(order_by)))
+        requests[row["_q"]].key = tuple(row[f"k{j}"] for j in range(len(levels)))
 
 
 def group_counts(df: DataFrame, group: str | None, values: list | None = None) -> dict:
@@ -172,9 +225,10 @@ def ranked_by_hash(df: DataFrame, row_id: str, seed, group: str, out: str,
     starts = (rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     w = Window.partitionBy(group, "_b").orderBy("_h", row_id)
-    return (rows.join(starts, [group, "_b"])
+    starts = starts.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), "_start")
+    return (rows.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
             .withColumn(out, F.row_number().over(w) - 1 + F.col("_start"))
-            .drop("_h", "_b", "_start"))
+            .drop("_h", "_b", "_g", "_c", "_start"))
 
 
 def running_totals(df: DataFrame, order_col: str, sums: list[str], descending: bool = False,

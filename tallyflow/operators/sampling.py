@@ -56,7 +56,7 @@ def holdout_head(df: DataFrame, label: str, fractions: dict, order_by: list[str]
 def sample_by_class(df: DataFrame, label: str, fractions: dict, seed, row_id: str) -> DataFrame:
     """Keep each row of class c with probability ``fractions[c]``."""
     keep = reduce(lambda a, b: a | b,
-                  [(F.col(label) == F.lit(c)) & draw_below(f, seed, F.col(row_id)) for c, f in fractions.items()])
+                  [(F.col(label) == F.lit(c)) & draw_below(f, seed, F.col(row_id)) for c, f in fractions.items()], F.lit(False))
     return df.filter(keep)
 
 

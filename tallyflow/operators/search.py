@@ -297,6 +297,11 @@ def evaluate(pop: DataFrame, scored: DataFrame | None, objective: Objective) ->
     return _settled(with_fitness(pop, scored).select(*pop.columns)), scored
 
 
+def _rank(fitness: float | None) -> float:
+    """Fitness for comparison: null and NaN are the worst."""
+    return math.inf if fitness is None or math.isnan(fitness) else fitness
+
+
 def population_search(spark: SparkSession, space: Sequence[Dim], objective: Objective, rule: str, pop: int, gens: int,
                       seed=0, min_step: float = 1e-4, min_gain: float = 1e-4, **options) -> tuple[list[float], float, DataFrame]:
     """(best point, best fitness, history). ``rule``: ga, pso, pso2, ffa, gwo or ssa. The pso rule
@@ -311,7 +316,8 @@ def population_search(spark: SparkSession, space: Sequence[Dim], objective: Obje
         if rule == "pso":
             moved = step_pso(now, space, gen, seed, **options)
         elif rule == "pso2":
-            moved = step_pso2(now, options["whole"], options["redraw"], gen, seed)
+            given = dict(options)
+            moved = step_pso2(now, given.pop("whole", [False] * len(space)), given.pop("redraw", [False] * len(space)), gen, seed, **given)
         elif rule == "gwo":
             moved = step_gwo(now, space, gen, gens, seed, history)
         elif rule == "ffa":
@@ -328,7 +334,7 @@ def population_search(spark: SparkSession, space: Sequence[Dim], objective: Obje
             now = _settled(update_memory(now))
         history = _settled(history.unionByName(now.select(*base)))
         top = now.orderBy("fitness", "cand_id").first()
-        if top["fitness"] < best["fitness"]:
+        if _rank(top["fitness"]) < _rank(best["fitness"]):
             step = sum((a - b) ** 2 for a, b in zip(top["x"], best["x"])) ** 0.5
             gain, best = best["fitness"] - top["fitness"], top
             if rule == "pso" and (step <= min_step or gain <= min_gain):

@@ -19,6 +19,9 @@ _SCHEMA = "key int, row int, vec array<double>"
 def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """An array<numeric> column of equal-length arrays as a float64 matrix."""
     col = batch.column(batch.schema.get_field_index(name))
+    sizes = np.diff(col.offsets.to_numpy()) if len(col) else np.zeros(0)
+    if col.null_count or col.flatten().null_count or (sizes.size and (sizes != sizes[0]).any()):
+        raise ValueError(f"column {name} must hold arrays of one length without nulls")
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1)
 

@@ -47,7 +47,7 @@ def _(spark, sf):
     return profile(table(spark, sf, "orders"))
 
 
-@query("numeric_select", "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax "
+@query("numeric_select", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax "
        "FROM lineitem")
 def _(spark, sf):
     return project.select_numeric(table(spark, sf, "lineitem"))

@@ -100,3 +100,45 @@ def test_report_handles_classes_never_predicted_or_never_true(spark):
     assert rep["a"]["precision"] == 0.5 and rep["accuracy"]["f1"] == 0.25
     cells = {(r["truth"], r["predicted"]): r["n"] for r in evaluate.confusion_matrix(df, "y", "p").collect()}
     assert len(cells) == 9 and sum(cells.values()) == 4 and cells[("c", "c")] == 0
+
+
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_null_labels_keep_their_rows_in_folds(spark, limit):
+    df = spark.range(1000).selectExpr("id", "if(id % 4 = 0, null, string(id % 3)) AS label")
+    out = sampling.stratified_folds(df, "label", 5, 0, "id", rows_per_task=limit)
+    assert out.count() == 1000
+    assert {r["n"] for r in out.filter("label IS NULL").groupBy("fold").agg(F.count("id").alias("n")).collect()} == {50}
+
+
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_null_order_keys_come_first(spark, limit):
+    df = spark.range(400).selectExpr("id", "if(id % 10 = 0, null, id) AS k", "'a' AS label")
+    head = sampling.rebalance_head(df, "label", {"a": 0.5}, ["k", "id"], rows_per_task=limit)
+    got = {r["id"] for r in head.collect()}
+    assert len(got) == 200 and {i for i in range(0, 400, 10)} <= got
+    train, test = sampling.holdout_head(df, "label", {"a": 0.05}, ["k", "id"], rows_per_task=limit)
+    assert (train.count(), test.count()) == (380, 20)
+    assert sampling.split_ordered(df, ["k", "id"], 0.8, rows_per_task=limit).filter("is_test IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_large_integers_and_nan_order_exactly(spark, limit):
+    big = spark.range(600).selectExpr("id", f"if(id < 300, {2**60 + 127}L, {2**60}L + id) AS k")
+    rows = sorted((r["k"], r["id"]) for r in big.collect())
+    got = ranking.order_thresholds(big, ["k", "id"], {None: [1, 299, 450]}, {None: 600}, rows_per_task=limit)
+    assert [got[(None, n)] for n in (1, 299, 450)] == [rows[n - 1] for n in (1, 299, 450)]
+    odd = spark.range(300).selectExpr("id", "if(id % 3 = 0, double('NaN'), double(id)) AS k")
+    assert sampling.split_ordered(odd, ["k", "id"], 0.5, rows_per_task=limit).filter("NOT is_test").count() == 150
+
+
+def test_string_order_keys_are_refused_at_any_size(spark):
+    df = spark.range(10).selectExpr("string(id) AS k")
+    with pytest.raises(ValueError, match="order column k"):
+        sampling.split_ordered(df, ["k"])
+
+
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_roc_leaves_out_rows_without_a_score(spark, limit):
+    df = spark.range(500).selectExpr("int(id % 2) AS y", "case when id % 10 = 0 then null when id % 10 = 5 then double('NaN') else id / 500 end AS s")
+    rows = evaluate.roc_curve(df, "y", "s", rows_per_task=limit)
+    assert rows.count() == 400 and rows.agg(F.max("tp")).first()[0] == 200
