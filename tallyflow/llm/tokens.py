@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file, encoding every distinct word of a task once.
 
-A text is cut after each run of word bytes, so that a piece is white space and the word behind it. The
-tokenizers used here split words at white space before they merge, so the ids of the pieces joined are the
-ids of the text. A text with white space other than ASCII, where that need not hold, is encoded whole.
+A text is cut after each run of word bytes, so that a piece is white space and the word behind it, and between an
+ASCII letter and an ASCII sign other than the apostrophe behind it. The tokenizers used here split texts at these places
+before they merge, so the ids of the pieces joined are the ids of the text. A text with white space other than ASCII, where that need not hold, is encoded whole.
 Strings of special tokens inside a text are ordinary text. Equality with whole-text encoding is tested.
 """
 from __future__ import annotations
@@ -19,6 +19,9 @@ REMEMBERED = 800_000
 _RARE = np.zeros(256, bool)
 _RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _OTHER_SPACE = {chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -72,6 +75,7 @@ class Encoder:
         _, ends, _ = words(data, offsets)
         cut = np.zeros(data.size + 1, bool)
         cut[ends] = cut[offsets] = True
+        cut[1:data.size] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
         cuts = np.flatnonzero(cut)
         n = cuts.size - 1
         if n <= 0:

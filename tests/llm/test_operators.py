@@ -47,7 +47,7 @@ def test_ids_of_pieces_are_those_of_the_text(name, end):
     texts = [None, "", " ", "a", "  two  spaces ", "tab\tand\n\nnewlines \n", "it's Don't  'll", "é ü ß 漢字 x", "no break  \n\nand em", "end ",
              "<|endoftext|> x<|endoftext|>", "á b ́c", "12,345.67% $5", "x" * 5000, "\x1c sep\x1f", " 　 ", "A\r\nB\x0b\x0cC"]
     rng = random.Random(1)
-    texts += ["".join(rng.choice("ab C\n\t 'sé9.,!  漢") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["".join(rng.choice("ab C\n\t 'sé9.,!-<|$_  漢") for _ in range(rng.randrange(60))) for _ in range(300)]
     e = tokens.Encoder(public_tokenizers.path(name))
     ids, at = tokens.with_end(*e.encode(*text_bytes(pa.array(texts, pa.string()))), end)
     whole = Tokenizer.from_file(public_tokenizers.path(name))
