@@ -9,11 +9,13 @@ the sets from above, as it does for the maxima of two boxes of points.
    more than that many ranges, so two linked sets agree in a whole range at least: range contents are keys. Sizes
    are classed so that both sides use the same cut; a set with too many empty ranges adds the keys of a
    prefix filter. Neighbours in sorted key order are joined to families by connected components.
-3. Every family is laid out in order of size and coarse counts and cut into leaves of bounded size; a leaf keeps
-   its points' sets and its box. Pairs of leaves whose boxes allow a link are joined.
-4. Within a pair of leaves the point bound selects pairs, which are compared exactly. A task returns its
-   links as a spanning forest and a number of links for each set, not all pairs.
-5. Connected components of these forests are the result.
+3. Every family is laid out in order of size and coarse counts and cut into leaves of points of bounded size. Pairs of
+   leaves whose boxes allow a link are joined, and the point bound is taken for their points. Texts that share
+   a passage meet in step 2 but not here: the components of what the bound leaves are the families of step 4.
+4. These are laid out and joined in the same way with the points' sets. Within a pair of leaves the point bound, on
+   groups fitted to their sizes, selects pairs, which are compared exactly.
+5. Connected components of the links are the result. Tasks of steps 3 and 4 return spanning forests
+   (and a number of links for each set), not all pairs.
 
 Sets are equal if their 64-bit shingle hashes are; steps 2 to 4 lose no pair of linked sets.
 
@@ -31,8 +33,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 from tallyflow.llm.frames import add_columns, components, free_name, name_of, stored
 from tallyflow.llm.text import chunks, mix, word_hashes, words
 
-BOX = 64
+BOX, POINT_BOX = 64, 16
 LEAF_MEMBERS, LEAF_BYTES = 512, 1 << 20
+#: Points are some 16 times smaller than sets, so that their leaves hold more.
+POINT_MEMBERS, POINT_BYTES = 4096, 1 << 21
 #: Members of families up to which they are broadcast to the texts (about 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 _STEP = 1.5
@@ -157,24 +161,140 @@ def _box(sets: list[np.ndarray], groups: int) -> np.ndarray:
     return np.bincount(row * groups + group, minlength=len(sets) * groups).reshape(len(sets), groups)
 
 
+def _groups(n: int) -> int:
+    """Groups of a point: about four shingles each, so that the bound tells unlike sets apart."""
+    return 1 << int(np.clip(np.ceil(np.log2(max(n, 1) / 4 + 1)), 4, 11))
+
+
+def _places(sets: list[np.ndarray]) -> np.ndarray:
+    """Place of every set in the order of its family: by size, then Z-order of the leading bits of four counts."""
+    coarse = np.minimum(_box(sets, 4), 0xFFFF)
+    z = np.zeros(len(sets), np.int64)
+    for bit in range(9, -1, -1):
+        for g in range(4):
+            z = (z << 1) | ((coarse[:, g] >> (bit + 2)) & 1)
+    size = np.array([x.size for x in sets], np.int64)
+    return ((np.log(np.maximum(size, 1)) / np.log(1.08)).astype(np.int64) << 40) | z
+
+
+def _point_leaves(members: DataFrame, k: int) -> DataFrame:
+    """Leaves (leaf, family, low, high, box, nodes, sizes, points) of the trees of all families from (family, node, text)."""
+    def lay(batches):
+        for part, data, offsets in chunks(batches, "text"):
+            sets = shingles(data, offsets, k)
+            same = np.array([node_of(x) for x in sets]) == part.column("node").to_numpy()
+            kept = [x for x, s in zip(sets, same) if s]
+            if kept:
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("family").filter(pa.array(same)), part.column("node").filter(pa.array(same)), pa.array(_places(kept)),
+                     pa.array([x.size for x in kept], pa.int64()), pa.array([_box([x], _groups(x.size)).astype("<u4").tobytes() for x in kept], pa.binary())],
+                    names=["family", "node", "place", "size", "point"])
+
+    laid = members.mapInArrow(lay, "family long, node long, place long, size long, point binary")
+    laid = laid.repartitionByRange("family", "place", "node").sortWithinPartitions("family", "place", "node")
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        leaf = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+
+        def flush():
+            nonlocal held, leaf
+            sizes = [h[2] for h in held]
+            points = np.stack([np.frombuffer(h[3], "<u4") for h in held]).astype(np.int64)
+            row = ([leaf], [held[0][0]], [min(sizes)], [max(sizes)], [_coarser(points, POINT_BOX).max(0).tolist()], [[h[1] for h in held]], [sizes], [b"".join(h[3] for h in held)])
+            held, leaf = [], leaf + 1
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "size", "point"))):
+                if held and held[-1][:2] == row[:2]:
+                    continue  # the node came by two rows of one id
+                if held and (held[-1][0] != row[0] or len(held[-1][3]) != len(row[3]) or len(held) >= POINT_MEMBERS or len(held) * len(row[3]) >= POINT_BYTES):
+                    yield flush()
+                held.append(row)
+        if held:
+            yield flush()
+
+    names = ["leaf", "family", "low", "high", "box", "nodes", "sizes", "points"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    return laid.mapInArrow(cut, "leaf long, family long, low long, high long, box array<long>, nodes array<long>, sizes array<long>, points binary")
+
+
+def _coarser(points: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of fewer groups, each of neighbouring ones."""
+    return points.reshape(len(points), groups, -1).sum(2)
+
+
+def near_points(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray | None, b: np.ndarray | None, percent: int):
+    """(i, array of j) of points of two leaves, or of one with ``b`` None (then each pair once), whose sets may be linked by the bound."""
+    one = b is None
+    if one:
+        size_b, b = size_a, a
+    groups = min(a.shape[1], b.shape[1])
+    a, b = _coarser(a, groups), _coarser(b, groups)
+    most = max(a.max(), b.max())
+    dtype = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64
+    order = np.argsort(size_b, kind="stable")
+    size, a, b = size_b[order], a.astype(dtype), b[order].astype(dtype)
+    for at, i in enumerate(order.tolist() if one else range(len(a))):
+        n = int(size_a[i])
+        lo = at + 1 if one else int(np.searchsorted(size, -(-n * percent // 100)))
+        hi = int(np.searchsorted(size, n * 100 // percent, "right"))
+        if lo < hi:
+            bound = np.minimum(a[i], b[lo:hi]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(bound * (100 + percent) >= percent * (n + size[lo:hi]))
+            if near.size:
+                yield i, order[near + lo]
+
+
+def _survivors(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs the bound leaves in leaves and pairs of leaves, as edges (a, b) of a spanning forest. Rows without ``b_sizes`` are single leaves."""
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                size_a, size_b = np.array(v["a_sizes"], np.int64), None if v["b_sizes"] is None else np.array(v["b_sizes"], np.int64)
+                a = np.frombuffer(v["a_points"], "<u4").reshape(len(size_a), -1).astype(np.int64)
+                b = None if size_b is None else np.frombuffer(v["b_points"], "<u4").reshape(len(size_b), -1).astype(np.int64)
+                node = np.array(v["a_nodes"] + (v["b_nodes"] or []), np.int64)
+                top = np.arange(node.size)
+                for i, near in near_points(size_a, a, size_b, b, percent):
+                    both = np.append(top[near if b is None else near + len(a)], top[i])
+                    lowest = both.min()
+                    for t in np.unique(both[both != lowest]):
+                        top[top == t] = lowest
+                hung = np.flatnonzero(top != np.arange(node.size))
+                yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[top[hung]])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _leaf_pairs(leaves: DataFrame, body: list[str], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Single leaves, and pairs of leaves of a family whose boxes allow a link, with the columns ``body`` of both as a_ and b_."""
+    thin = leaves.select("leaf", "family", "low", "high", "box")
+    a, b = (thin.select(*[F.col(c).alias(f"{side}_{c}") for c in thin.columns]) for side in "ab")
+    shared = F.aggregate(F.zip_with("a_box", "b_box", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    pairs = (a.join(b, (F.col("a_family") == F.col("b_family")) & (F.col("a_leaf") < F.col("b_leaf"))
+                    & (F.col("a_low") * percent <= F.col("b_high") * 100) & (F.col("b_low") * percent <= F.col("a_high") * 100))
+             .filter(shared * (100 + percent) >= percent * (F.col("a_low") + F.col("b_low"))).select("a_leaf", "b_leaf"))
+    left, right = (leaves.select(F.col("leaf").alias(f"{side}_leaf"), *[F.col(c).alias(f"{side}_{c}") for c in body]) for side in "ab")
+    single = left.drop("a_leaf").select("*", *[F.lit(None).cast(leaves.schema[c].dataType).alias(f"b_{c}") for c in body])
+    return single, pairs.join(left, "a_leaf").join(right, "b_leaf").drop("a_leaf", "b_leaf")
+
+
 def _leaves(members: DataFrame, k: int) -> DataFrame:
     """Leaves (leaf, family, low, high, box, nodes, copies, sizes, sets) of the trees of all families from
     (family, node, copies, text)."""
     def lay(batches):
         for part, data, offsets in chunks(batches, "text"):
             sets = shingles(data, offsets, k)
-            coarse = np.minimum(_box(sets, 4), 0xFFFF)
-            z = np.zeros(len(sets), np.int64)
-            for bit in range(9, -1, -1):  # Z-order of the counts' leading bits
-                for g in range(4):
-                    z = (z << 1) | ((coarse[:, g] >> (bit + 2)) & 1)
-            size = np.array([x.size for x in sets], np.int64)
-            tile = (np.log(np.maximum(size, 1)) / np.log(1.08)).astype(np.int64)
             same = np.array([node_of(x) for x in sets]) == part.column("node").to_numpy()
             keep = pa.array(same)
             yield pa.RecordBatch.from_arrays(
                 [part.column("family").filter(keep), part.column("node").filter(keep), part.column("copies").filter(keep),
-                 pa.array(((tile << 40) | z)[same]), pa.array([x.tobytes() for x, s in zip(sets, same) if s], pa.binary())],
+                 pa.array(_places(sets)[same]), pa.array([x.tobytes() for x, s in zip(sets, same) if s], pa.binary())],
                 names=["family", "node", "copies", "place", "members"])
 
     laid = members.mapInArrow(lay, "family long, node long, copies long, place long, members binary")
@@ -223,8 +343,7 @@ def links_between(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int)
     size_b = np.array([x.size for x in other])
     order = np.argsort(size_b, kind="stable")
     sorted_b = size_b[order]
-    typical = int(np.median(size_b))
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(typical, 1) / 4 + 1)), 4, 11))
+    groups = _groups(int(np.median(size_b)))
     dtype = np.uint16 if max(size_b.max(), max(x.size for x in a)) < 1 << 16 else np.int64
     ca, cb = _box(a, groups).astype(dtype), _box([other[j] for j in order], groups).astype(dtype)
     flat = np.concatenate([other[j] for j in order])
@@ -293,6 +412,15 @@ def _forest(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, links long")
 
 
+def _members(docs: DataFrame, nodes: DataFrame, families: DataFrame, name: str, text: str, doc_id: str) -> DataFrame:
+    """(family, node, copies, text) of the first row of every node of ``families``."""
+    few = stored(families.select("node", F.col("component").alias("family")).join(nodes, "node"), name)
+    if few.count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    texts = docs.select(F.col(name_of(doc_id)).alias("id_of_row"), F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
+    return texts.join(few, F.col("first_id").eqNullSafe(F.col("id_of_row"))).select("family", "node", "copies", "text")
+
+
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row: size of its set, smallest id reachable by
     links (100 * intersection >= percent * union), itself included, and the number of rows it is linked with."""
@@ -300,22 +428,12 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     nodes = at.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     rows = at.select(F.explode("keys").alias("key"), "node")
     families = components(_neighbours(rows))
-    few = stored(families.select("node", F.col("component").alias("family")).join(nodes, "node"), "members")
-    if few.count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    texts = docs.select(F.col(name_of(doc_id)).alias("id_of_row"), F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
-    members = texts.join(few, F.col("first_id").eqNullSafe(F.col("id_of_row"))).select("family", "node", "copies", "text")
-    leaves = stored(_leaves(members, k), "leaves")
-    thin = leaves.select("leaf", "family", "low", "high", "box")
-    a, b = (thin.select(*[F.col(c).alias(f"{side}_{c}") for c in thin.columns]) for side in "ab")
-    shared = F.aggregate(F.zip_with("a_box", "b_box", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    pairs = (a.join(b, (F.col("a_family") == F.col("b_family")) & (F.col("a_leaf") < F.col("b_leaf"))
-                    & (F.col("a_low") * percent <= F.col("b_high") * 100) & (F.col("b_low") * percent <= F.col("a_high") * 100))
-             .filter(shared * (100 + percent) >= percent * (F.col("a_low") + F.col("b_low"))).select("a_leaf", "b_leaf"))
-    body = ["nodes", "copies", "sizes", "sets"]
-    left, right = (leaves.select(F.col("leaf").alias(f"{side}_leaf"), *[F.col(c).alias(f"{side}_{c}") for c in body]) for side in "ab")
-    single = left.drop("a_leaf").select("*", *[F.lit(None).cast(leaves.schema[c].dataType).alias(f"b_{c}") for c in body])
-    double = pairs.join(left, "a_leaf").join(right, "b_leaf").drop("a_leaf", "b_leaf")
+    found = _members(docs, nodes, families, "rough", text, doc_id)
+    rough = stored(_point_leaves(found.drop("copies"), k), "points-leaves")
+    single, double = _leaf_pairs(rough, ["nodes", "sizes", "points"], percent)
+    families = components(stored(_survivors(single, percent).union(_survivors(double, percent)), "survivors"))
+    leaves = stored(_leaves(_members(docs, nodes, families, "members", text, doc_id), k), "leaves")
+    single, double = _leaf_pairs(leaves, ["nodes", "copies", "sizes", "sets"], percent)
     forest = stored(_forest(single, percent).union(_forest(double, percent)), "forest")
     groups = components(forest.filter("a <> b").select("a", "b"))
     lowest = groups.join(nodes, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -161,6 +161,7 @@ def linked(rows, k, percent):
 @pytest.mark.parametrize("leaf", [2, 512])
 def test_join_equals_all_pairs(spark, leaf, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAF_MEMBERS", leaf)
+    monkeypatch.setattr(ngram_join, "POINT_MEMBERS", leaf)
     rng = random.Random(7)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(n)] for n in (3, 5, 8, 12, 20, 40, 90, 200)]
     rows = []
@@ -188,6 +189,22 @@ def test_linked_sets_share_a_key():
                 assert np.intersect1d(ngram_join.keys(x, percent), ngram_join.keys(y, percent)).size
 
 
+def test_bound_keeps_linked_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (6, 30, 200, 900):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for c in range(8):
+            gone = rng.permutation(base.size)[:c * n // 40]
+            sets.append(np.unique(np.concatenate([np.delete(base, gone), rng.integers(0, 2**64, gone.size, dtype=np.uint64)])))
+    size = np.array([x.size for x in sets])
+    linked = {(i, j) for i, x in enumerate(sets) for j in range(i) if 9 * np.intersect1d(x, sets[j]).size >= 4 * (x.size + sets[j].size)}  # 80 per cent
+    fine, coarse = (np.stack([np.bincount((x >> np.uint64(64 - g)).astype(np.int64), minlength=1 << g) for x in sets]) for g in (8, 5))
+    one = {(max(i, j), min(i, j)) for i, near in ngram_join.near_points(size, fine, None, None, 80) for j in near.tolist()}
+    two = {(i, j) for i, near in ngram_join.near_points(size, fine, size, coarse, 80) for j in near.tolist() if j < i}
+    assert linked and linked <= one and linked <= two and len(one) < len(sets) * (len(sets) - 1) // 4
+
+
 def test_join_of_odd_rows(spark, odd, none):
     got = ngram_join.similar(odd).collect()
     assert len(got) == odd.count()
