@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once, which bounds the arrays of a task. A longer single text is its own chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BLOCK = 1 << 20
 
 #: The separators of words: 0x20 and 0x09-0x0D.
