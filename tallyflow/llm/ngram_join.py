@@ -35,8 +35,8 @@ from tallyflow.llm.text import chunks, mix, word_hashes, words
 
 BOX, POINT_BOX = 64, 16
 LEAF_MEMBERS, LEAF_BYTES = 512, 1 << 20
-#: Points are some 16 times smaller than sets, so that their leaves hold more.
-POINT_MEMBERS, POINT_BYTES = 4096, 1 << 21
+#: Points are some 30 times smaller than sets, a byte a count, so that their leaves hold more.
+POINT_MEMBERS, POINT_BYTES = 4096, 1 << 20
 #: Members of families up to which they are broadcast to the texts (about 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 _STEP = 1.5
@@ -166,6 +166,16 @@ def _groups(n: int) -> int:
     return 1 << int(np.clip(np.ceil(np.log2(max(n, 1) / 4 + 1)), 4, 11))
 
 
+def _tiles(size: np.ndarray) -> np.ndarray:
+    """Numbers of size ranges, each 8 per cent wide."""
+    return (np.log(np.maximum(size, 1)) / np.log(1.08)).astype(np.int64)
+
+
+def _point_groups(size: np.ndarray) -> np.ndarray:
+    """Groups of the points of sets: one number for a whole tile, so that leaves hold points of one length."""
+    return np.array([_groups(int(1.08**t)) for t in _tiles(size).tolist()], np.int64)
+
+
 def _places(sets: list[np.ndarray]) -> np.ndarray:
     """Place of every set in the order of its family: by size, then Z-order of the leading bits of four counts."""
     coarse = np.minimum(_box(sets, 4), 0xFFFF)
@@ -173,8 +183,7 @@ def _places(sets: list[np.ndarray]) -> np.ndarray:
     for bit in range(9, -1, -1):
         for g in range(4):
             z = (z << 1) | ((coarse[:, g] >> (bit + 2)) & 1)
-    size = np.array([x.size for x in sets], np.int64)
-    return ((np.log(np.maximum(size, 1)) / np.log(1.08)).astype(np.int64) << 40) | z
+    return (_tiles(np.array([x.size for x in sets], np.int64)) << 40) | z
 
 
 def _point_leaves(members: DataFrame, k: int) -> DataFrame:
@@ -184,10 +193,11 @@ def _point_leaves(members: DataFrame, k: int) -> DataFrame:
             sets = shingles(data, offsets, k)
             same = np.array([node_of(x) for x in sets]) == part.column("node").to_numpy()
             kept = [x for x, s in zip(sets, same) if s]
+            size = np.array([x.size for x in kept], np.int64)
             if kept:
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("family").filter(pa.array(same)), part.column("node").filter(pa.array(same)), pa.array(_places(kept)),
-                     pa.array([x.size for x in kept], pa.int64()), pa.array([_box([x], _groups(x.size)).astype("<u4").tobytes() for x in kept], pa.binary())],
+                    [part.column("family").filter(pa.array(same)), part.column("node").filter(pa.array(same)), pa.array(_places(kept)), pa.array(size),
+                     pa.array([_box([x], g).astype("<u4").tobytes() for x, g in zip(kept, _point_groups(size).tolist())], pa.binary())],
                     names=["family", "node", "place", "size", "point"])
 
     laid = members.mapInArrow(lay, "family long, node long, place long, size long, point binary")
@@ -202,8 +212,9 @@ def _point_leaves(members: DataFrame, k: int) -> DataFrame:
         def flush():
             nonlocal held, leaf
             sizes = [h[2] for h in held]
-            points = np.stack([np.frombuffer(h[3], "<u4") for h in held]).astype(np.int64)
-            row = ([leaf], [held[0][0]], [min(sizes)], [max(sizes)], [_coarser(points, POINT_BOX).max(0).tolist()], [[h[1] for h in held]], [sizes], [b"".join(h[3] for h in held)])
+            points = np.stack([np.frombuffer(h[3], "<u4") for h in held])
+            box = _coarser(points.astype(np.int64), POINT_BOX).max(0)
+            row = ([leaf], [held[0][0]], [min(sizes)], [max(sizes)], [box.tolist()], [[h[1] for h in held]], [sizes], [points.astype("u1" if points.max() < 256 else "<u4").tobytes()])
             held, leaf = [], leaf + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
 
@@ -211,7 +222,7 @@ def _point_leaves(members: DataFrame, k: int) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "size", "point"))):
                 if held and held[-1][:2] == row[:2]:
                     continue  # the node came by two rows of one id
-                if held and (held[-1][0] != row[0] or len(held[-1][3]) != len(row[3]) or len(held) >= POINT_MEMBERS or len(held) * len(row[3]) >= POINT_BYTES):
+                if held and (held[-1][0] != row[0] or len(held[-1][3]) != len(row[3]) or len(held) >= POINT_MEMBERS or len(held) * len(row[3]) >= 4 * POINT_BYTES):
                     yield flush()
                 held.append(row)
         if held:
@@ -227,6 +238,12 @@ def _coarser(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), groups, -1).sum(2)
 
 
+def _points(sizes: list[int], raw: bytes) -> np.ndarray:
+    """Points of a leaf, a row each; counts take four bytes where one of them needs more than one."""
+    groups = int(_point_groups(np.array(sizes[:1]))[0])
+    return np.frombuffer(raw, "u1" if len(raw) == len(sizes) * groups else "<u4").reshape(len(sizes), groups).astype(np.int64)
+
+
 def near_points(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray | None, b: np.ndarray | None, percent: int):
     """(i, array of j) of points of two leaves, or of one with ``b`` None (then each pair once), whose sets may be linked by the bound."""
     one = b is None
@@ -256,8 +273,8 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
             for r in range(batch.num_rows):
                 v = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 size_a, size_b = np.array(v["a_sizes"], np.int64), None if v["b_sizes"] is None else np.array(v["b_sizes"], np.int64)
-                a = np.frombuffer(v["a_points"], "<u4").reshape(len(size_a), -1).astype(np.int64)
-                b = None if size_b is None else np.frombuffer(v["b_points"], "<u4").reshape(len(size_b), -1).astype(np.int64)
+                a = _points(v["a_sizes"], v["a_points"])
+                b = None if size_b is None else _points(v["b_sizes"], v["b_points"])
                 node = np.array(v["a_nodes"] + (v["b_nodes"] or []), np.int64)
                 top = np.arange(node.size)
                 for i, near in near_points(size_a, a, size_b, b, percent):
