@@ -5,7 +5,11 @@ and names (capitalised inside a sentence) are replaced by typed placeholders, ev
 lower-cased. Windows of a template are hashed by doubling (pairs, fours, eights) and joined with the
 windows of the benchmark's templates. A document holds an item if it has enough of the item's windows and
 its placeholders' values follow one substitution: each value of the item stands for one value in the
-document, so that re-parameterised questions are found and chance matches of templates are not.
+document, so that re-parameterised questions are found and chance matches of templates are not. Both are asked
+of every copy: of the windows of one alignment (place in the document less place in the item), of alignments near
+each other, as a value may take the place of a longer one, and of all windows together, for items with text put in
+between. A document that holds an item several times with different values so holds it if any copy passes; the row
+given is that of the copy with most windows.
 
 Defined cases: null and empty texts hold nothing; an item of 4 to 7 words has windows of 4, and items
 of fewer words are not searched; item windows with placeholders in more than half of their places are not used;
@@ -14,7 +18,7 @@ are ignored. No limit applies to lengths, hits a document or documents an item.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyflow.llm.frames import free_name, name_of, null_safe_join, stored
 
@@ -24,8 +28,11 @@ UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h
          "weeks", "week", "months", "years", "year", "miles", "mile", "feet", "foot", "inches", "inch", "pounds", "dollars", "euros", "cents",
          "meters", "metres", "grams", "kilograms", "liters", "litres", "percent"]
 WINDOW, SHORT = 8, 4
+#: Alignments up to this or half an item's windows apart may belong to one copy; copies beside each other are further apart.
+DRIFT = 3
 #: Rows of the item side up to which it is broadcast (24 bytes each); beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+SLOTS = ["n_slots", "consistent_slots", "changed_slots"]
 
 
 def tokens(text: Column) -> Column:
@@ -86,6 +93,20 @@ def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
     return null_safe_join(one.drop("values"), total, ["item_id"])
 
 
+def _copies(hits: DataFrame, pair: list[str]) -> DataFrame:
+    """Add ``level`` and ``copy``: a hit counts for its alignment, for the run of near alignments it is in if that has others, and for
+    all hits of its document and item if those have other runs."""
+    by_shift = Window.partitionBy(*pair).orderBy("shift")
+    rows = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    rows = rows.withColumn("gap", F.col("shift") - F.lag("shift").over(by_shift))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("gap") > F.greatest(F.lit(DRIFT), F.col("n_windows") / 2), 1).otherwise(0)).over(by_shift))
+    run, all_ = Window.partitionBy(*pair, "run"), Window.partitionBy(*pair)
+    rows = rows.withColumn("mixed", F.min("shift").over(run) < F.max("shift").over(run)).withColumn("runs", F.max("run").over(all_))
+    as_ = lambda level, copy: F.struct(F.lit(level).alias("level"), copy.cast("long").alias("copy"))
+    levels = F.array(as_(0, F.col("shift")), F.when(F.col("mixed"), as_(1, F.col("run"))), F.when(F.col("runs") > 0, as_(2, F.lit(0))))
+    return rows.select(*hits.columns, F.explode(F.array_compact(levels)).alias("c")).select(*hits.columns, "c.*")
+
+
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",
             coverage: float = 0.5, consistency: float = 0.75) -> DataFrame:
     """(doc_id, text_key, item_id, matched_windows, n_windows, n_slots, consistent_slots, changed_slots) of documents
@@ -113,24 +134,30 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     found = hits.groupBy(pair).agg(F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"))
     found = stored(found.filter(F.col("matched_windows") >= coverage * F.col("n_windows")), "found")
 
+    copy = [*pair, "level", "copy"]
+    held_windows = _copies(null_safe_join(hits, found.select(*pair), pair, "left_semi"), pair).groupBy(copy).agg(
+        F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("pos", "item_pos")).alias("at"))
+    copies = stored(held_windows.filter(F.col("matched_windows") >= coverage * F.col("n_windows")), "copies")
+
     slotted = known.filter(F.size("slots") > 0).select("item_id", "item_pos", "slots")
-    wanted = (null_safe_join(null_safe_join(hits.select(*pair, "pos", "item_pos"), found.select(*pair), pair, "left_semi"), near(slotted), ["item_id", "item_pos"])
-              .select(*pair, F.explode(F.transform("slots", lambda s: F.struct(s["place"].alias("place"), s["value"].alias("value"),
+    wanted = (null_safe_join(copies.select(*copy, F.explode("at").alias("at")).select(*copy, "at.*"), near(slotted), ["item_id", "item_pos"])
+              .select(*copy, F.explode(F.transform("slots", lambda s: F.struct(s["place"].alias("place"), s["value"].alias("value"),
                                                                                (s["place"] - F.col("item_pos") + F.col("pos")).alias("at")))).alias("s"))
-              .distinct().groupBy(pair).agg(F.collect_list("s").alias("wanted")))
-    holders = found.select("doc_id", "text_key").distinct()
+              .distinct().groupBy(copy).agg(F.collect_list("s").alias("wanted")))
+    holders = copies.select("doc_id", "text_key").distinct()
     m = holders.count()
     holders = F.broadcast(holders) if m <= BROADCAST_ROWS else holders
     held = null_safe_join(texts, holders, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", tokens(F.col("text")).alias("words"))
-    pairs = null_safe_join(wanted, held, ["doc_id", "text_key"]).select(*pair, F.explode(F.transform("wanted", lambda s: F.struct(
-        s["place"].alias("place"), s["value"].alias("value"), _value(F.get("words", s["at"])).alias("other")))).alias("s")).select(*pair, "s.*")
-    counted = pairs.groupBy(*pair, "value", "other").agg(F.count(F.lit(1)).alias("n"))
-    by_value = counted.groupBy(*pair, "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("value") != F.col("other"), F.col("n")).otherwise(0)).alias("changed"))
-    slots = by_value.groupBy(pair).agg(F.sum("n").alias("n_slots"), F.sum("most").alias("consistent_slots"), F.sum("changed").alias("changed_slots"))
-    out = null_safe_join(found, slots, pair, "left")
+    values = null_safe_join(wanted, held, ["doc_id", "text_key"]).select(*copy, F.explode(F.transform("wanted", lambda s: F.struct(
+        s["place"].alias("place"), s["value"].alias("value"), _value(F.get("words", s["at"])).alias("other")))).alias("s")).select(*copy, "s.*")
+    counted = values.groupBy(*copy, "value", "other").agg(F.count(F.lit(1)).alias("n"))
+    by_value = counted.groupBy(*copy, "value").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("value") != F.col("other"), F.col("n")).otherwise(0)).alias("changed"))
+    slots = by_value.groupBy(copy).agg(F.sum("n").alias("n_slots"), F.sum("most").alias("consistent_slots"), F.sum("changed").alias("changed_slots"))
     none = F.lit(0).cast("long")
-    out = out.select(*pair, "matched_windows", "n_windows", *[F.coalesce(c, none).alias(c) for c in ("n_slots", "consistent_slots", "changed_slots")])
-    return out.filter(F.col("consistent_slots") >= consistency * F.col("n_slots"))
+    judged = null_safe_join(copies.drop("at"), slots, copy, "left").select(*pair, "matched_windows", "n_windows", *[F.coalesce(c, none).alias(c) for c in SLOTS])
+    passed = judged.filter(F.col("consistent_slots") >= consistency * F.col("n_slots"))
+    best = F.max(F.struct("matched_windows", F.try_divide("consistent_slots", "n_slots").alias("share"), "n_windows", *SLOTS)).alias("best")
+    return passed.groupBy(pair).agg(best).select(*pair, *[f"best.{c}" for c in ("matched_windows", "n_windows", *SLOTS)])
 
 
 def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -398,6 +398,20 @@ def test_leaks(spark, odd, none):
     assert decontaminate.matches(none, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_in_several_copies(spark):
+    item = "Tom has 12 apples and gives 5 apples to Anna so how many apples are left for Tom after 3 days of eating 2 apples each day"
+
+    def varied(j):
+        return item.replace("Tom", ["Ben", "Max", "Leo"][j]).replace("Anna", ["Eva", "Ida", "Mia"][j]).replace("12", f"4{j}").replace(" 5 ", f" {j + 7} ").replace(" 3 ", f" {j + 13} ").replace(" 2 ", f" {j + 23} ")
+
+    longer = item.replace("Tom", "Mary Lou").replace("12", "1 200")
+    rows = [(1, f"see {item} and then {varied(0)}"), (2, f"see {varied(0)} and then {varied(1)} and then {varied(2)}"), (3, f"{varied(1)} {varied(2)} " * 4), (4, f"see {longer} and more"),
+            (5, f"see {longer} and then {varied(0)}")]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 3, 4, 5]
+    assert all(r["consistent_slots"] >= 0.75 * r["n_slots"] and r["n_slots"] <= 8 for r in found if r["doc_id"] != 4)
+
+
 def test_leaks_find_whole_items(spark, documents):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     holds = {r["doc_id"] for r in documents.collect() if any(i in r["text"] for i in items)}
