@@ -11,8 +11,13 @@ each other, as a value may take the place of a longer one, and of all windows to
 between. A document that holds an item several times with different values so holds it if any copy passes; the row
 given is that of the copy with most windows.
 
-Defined cases: null and empty texts hold nothing; an item of 4 to 7 words has windows of 4, and items
-of fewer words are not searched; item windows with placeholders in more than half of their places are not used;
+Item windows with placeholders in more than half of their places say little by their template. An item that has some is
+also searched by the literal windows (lower-cased words and numbers as they stand) of its whole text, judged by
+themselves; if it has no other windows, its templates with words in at least a quarter of their places are used too.
+
+Defined cases: null and empty texts hold nothing; an item of 4 to 7 words has windows of 4; an item of 2 or 3 words
+is one literal window of that size; an item of one word is held where it stands alone between sentence ends, as a word
+inside a sentence is no copy; items without a word or number are not searched;
 rows equal in id and text give one result row an item; rows with a null id are compared too; extra columns
 are ignored. No limit applies to lengths, hits a document or documents an item.
 """
@@ -55,8 +60,20 @@ def _canonical(x: Column, i: Column, all_: Column) -> Column:
 
 
 def _value(x: Column) -> Column:
-    """What a placeholder stands for."""
-    return F.lower(F.regexp_replace(x, r"[.,]+$", ""))
+    """What a placeholder stands for, and what a token is without the sentence end before it and marks behind a number."""
+    return F.lower(F.regexp_replace(x, r"^[.!?\n][ \t\r\n]*|[.,]+$", ""))
+
+
+def _literal(all_: Column) -> Column:
+    """Hashes of the values of all tokens."""
+    plain = lambda x: F.when(_starts_number(x) | F.ascii(x).isin(10, 33, 46, 63), _value(x)).otherwise(F.lower(x))
+    return F.transform(all_, lambda x: F.xxhash64(plain(x)))
+
+
+def _alone(text: Column) -> Column:
+    """Hashes of the values of tokens that stand alone between sentence ends."""
+    parts = F.transform(F.split(text, r"[!?\n]+|\.(?![0-9])"), lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)))
+    return F.transform(F.filter(parts, lambda x: F.size(x) == 1), lambda x: F.xxhash64(_value(F.get(x, F.lit(0)))))
 
 
 def template(all_: Column) -> Column:
@@ -70,37 +87,60 @@ def _doubled(h: Column, by: int) -> Column:
     return F.zip_with(F.slice(h, F.lit(1), F.greatest(n, F.lit(0))), ahead, lambda a, b: F.xxhash64(a, b))
 
 
-def _with_windows(rows: DataFrame, all_: str) -> DataFrame:
-    """Add ``h4`` and ``h8``: hashes of the windows of four and eight template words."""
-    out = rows.withColumn("h1", F.transform(F.col(all_), lambda x, i: F.xxhash64(_canonical(x, i, F.col(all_)))))
-    out = out.withColumn("h2", _doubled(F.col("h1"), 1))
-    out = out.withColumn("h4", _doubled(F.col("h2"), 2))
-    return out.withColumn("h8", _doubled(F.col("h4"), 4)).drop("h1", "h2")
+def _with_windows(rows: DataFrame, all_: str, literal: bool) -> DataFrame:
+    """Add ``h4`` and ``h8``, hashes of the windows of four and eight template words, or ``l1``, ``l2``, ``l3``, ``l4`` and ``l8`` of values."""
+    k = "l" if literal else "h"
+    one = _literal(F.col(all_)) if literal else F.transform(F.col(all_), lambda x, i: F.xxhash64(_canonical(x, i, F.col(all_))))
+    out = rows.withColumn(f"{k}1", one)
+    out = out.withColumn(f"{k}2", _doubled(F.col(f"{k}1"), 1))
+    out = out.withColumn(f"{k}4", _doubled(F.col(f"{k}2"), 2))
+    out = out.withColumn(f"{k}8", _doubled(F.col(f"{k}4"), 4))
+    if not literal:
+        return out.drop("h1", "h2")
+    n = F.greatest(F.size("l2") - 1, F.lit(0))
+    return out.withColumn("l3", F.zip_with(F.slice("l2", F.lit(1), n), F.slice("l1", F.lit(3), n), lambda a, b: F.xxhash64(a, b)))
 
 
 def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
-    """(item_id, size, item_pos, h, n_windows, slots) of the used windows; ``slots`` has place and value of placeholders."""
+    """(item_id, literal, size, item_pos, h, n_windows, slots) of the used windows; ``slots`` has place and value of placeholders."""
     rows = items.select(F.col(name_of(item_id)).alias("item_id"), tokens(F.col(name_of(text))).alias("words")).distinct()
-    rows = _with_windows(rows, "words").withColumn("canon", template(F.col("words")))
+    rows = _with_windows(_with_windows(rows, "words", False), "words", True).withColumn("canon", template(F.col("words")))
     length = F.size("words")
-    rows = rows.withColumn("size", F.when(length >= WINDOW, WINDOW).when(length >= SHORT, SHORT)).filter("size IS NOT NULL")
-    rows = rows.withColumn("h", F.when(F.col("size") == WINDOW, F.col("h8")).otherwise(F.col("h4")))
+    rows = rows.withColumn("size", F.when(length >= WINDOW, WINDOW).when(length >= SHORT, SHORT).otherwise(length)).filter("size > 0")
     places = F.zip_with(F.col("canon"), F.col("words"), lambda c, w: F.when(F.startswith(c, F.lit("<")), _value(w)))
-    one = rows.withColumn("values", places).select("item_id", "size", "values", F.posexplode_outer("h").alias("item_pos", "h")).filter("h IS NOT NULL")
-    at = F.transform(F.slice("values", F.col("item_pos") + 1, F.col("size")), lambda v, j: F.struct((j + F.col("item_pos")).alias("place"), v.alias("value")))
-    one = one.withColumn("slots", F.filter(at, lambda s: s["value"].isNotNull())).filter(F.size("slots") * 2 <= F.col("size"))
-    total = one.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    return null_safe_join(one.drop("values"), total, ["item_id"])
-
-
-def _copies(hits: DataFrame, pair: list[str]) -> DataFrame:
+    # stored, as Spark would put these columns into the lambdas below and compute them for every window
+    rows = stored(rows.withColumn("values", places).drop("canon", "words"), "items")
+
+    def windows(h: Column) -> Column:
+        def slots(pos: Column) -> Column:
+            at = F.transform(F.slice("values", pos + 1, F.col("size")), lambda v, j: F.struct((j + pos).alias("place"), v.alias("value")))
+            return F.filter(at, lambda s: s["value"].isNotNull() & (F.col("size") > 1))
+        return F.transform(h, lambda x, i: F.struct(i.alias("item_pos"), x.alias("h"), slots(i).alias("slots")))
+
+    def with_slots_up_to(quarters: int) -> Column:
+        return F.filter("typed", lambda w: F.size(w["slots"]) * 4 <= F.col("size") * quarters)
+
+    hashes = F.when(F.col("size") == WINDOW, F.col("h8")).when(F.col("size") == SHORT, F.col("h4")).otherwise(F.array().cast("array<bigint>"))
+    as_they_stand = F.when(F.col("size") == WINDOW, F.col("l8"))
+    for k in (SHORT, 3, 2, 1):
+        as_they_stand = as_they_stand.when(F.col("size") == k, F.col(f"l{k}"))
+    rows = rows.withColumn("typed", windows(hashes)).withColumn("whole", windows(as_they_stand)).withColumn("plain", with_slots_up_to(2))
+    used = F.when(F.size("plain") > 0, F.col("plain")).otherwise(with_slots_up_to(3))
+    typed = rows.select("item_id", F.lit(False).alias("literal"), "size", F.explode(used).alias("w"))
+    literal = rows.filter((F.col("size") < SHORT) | (F.size("plain") < F.size("typed"))).select("item_id", F.lit(True).alias("literal"), "size", F.explode("whole").alias("w"))
+    one = typed.union(literal).select("item_id", "literal", "size", "w.*")
+    total = one.groupBy("item_id", "literal").agg(F.countDistinct("item_pos").alias("n_windows"))
+    return null_safe_join(one, total, ["item_id", "literal"])
+
+
+def _copies(hits: DataFrame, by: list[str]) -> DataFrame:
     """Add ``level`` and ``copy``: a hit counts for its alignment, for the run of near alignments it is in if that has others, and for
     all hits of its document and item if those have other runs."""
-    by_shift = Window.partitionBy(*pair).orderBy("shift")
+    by_shift = Window.partitionBy(*by).orderBy("shift")
     rows = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     rows = rows.withColumn("gap", F.col("shift") - F.lag("shift").over(by_shift))
     rows = rows.withColumn("run", F.sum(F.when(F.col("gap") > F.greatest(F.lit(DRIFT), F.col("n_windows") / 2), 1).otherwise(0)).over(by_shift))
-    run, all_ = Window.partitionBy(*pair, "run"), Window.partitionBy(*pair)
+    run, all_ = Window.partitionBy(*by, "run"), Window.partitionBy(*by)
     rows = rows.withColumn("mixed", F.min("shift").over(run) < F.max("shift").over(run)).withColumn("runs", F.max("run").over(all_))
     as_ = lambda level, copy: F.struct(F.lit(level).alias("level"), copy.cast("long").alias("copy"))
     levels = F.array(as_(0, F.col("shift")), F.when(F.col("mixed"), as_(1, F.col("run"))), F.when(F.col("runs") > 0, as_(2, F.lit(0))))
@@ -119,28 +159,31 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
 
     body = F.coalesce(F.col(name_of(text)).cast("string"), F.lit(""))
     texts = docs.select(F.col(name_of(doc_id)).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
-    cut = _with_windows(texts.select("doc_id", "text_key", tokens(F.col("text")).alias("words")), "words")
-    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most two
+    cut = texts.select("doc_id", "text_key", "text", tokens(F.col("text")).alias("words"))
+    kinds = [(r["literal"], r["size"]) for r in known.select("literal", "size").distinct().collect()]  # at most seven
     hits = None
-    for size in sizes:
+    for literal, size in sorted(kinds):
+        hashes = _alone(F.col("text")) if size == 1 else F.col(f"l{size}" if literal else f"h{size}")
+        wanted = known.filter((F.col("literal") == literal) & (F.col("size") == size)).select("h", "item_id", "literal", "item_pos", "n_windows")
         # the outer form: for the plain one Spark infers a filter on the array and computes the template twice
-        found = (cut.select("doc_id", "text_key", F.posexplode_outer(f"h{size}").alias("pos", "h")).filter("h IS NOT NULL")
-                 .join(near(known.filter(F.col("size") == size).select("h", "item_id", "item_pos", "n_windows")), "h").drop("h"))
+        found = (_with_windows(cut, "words", literal).select("doc_id", "text_key", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
+                 .join(near(wanted), "h").drop("h"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = cut.select("doc_id", "text_key", F.lit(0).alias("pos")).join(known.select("item_id", "item_pos", "n_windows"), F.lit(False))
+        hits = cut.select("doc_id", "text_key", F.lit(0).alias("pos")).join(known.select("item_id", "literal", "item_pos", "n_windows"), F.lit(False))
     hits = stored(hits.distinct(), "hits")
     pair = ["doc_id", "text_key", "item_id"]
-    found = hits.groupBy(pair).agg(F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"))
+    by = [*pair, "literal"]
+    found = hits.groupBy(by).agg(F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"))
     found = stored(found.filter(F.col("matched_windows") >= coverage * F.col("n_windows")), "found")
 
-    copy = [*pair, "level", "copy"]
-    held_windows = _copies(null_safe_join(hits, found.select(*pair), pair, "left_semi"), pair).groupBy(copy).agg(
+    copy = [*by, "level", "copy"]
+    held_windows = _copies(null_safe_join(hits, found.select(*by), by, "left_semi"), by).groupBy(copy).agg(
         F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("pos", "item_pos")).alias("at"))
     copies = stored(held_windows.filter(F.col("matched_windows") >= coverage * F.col("n_windows")), "copies")
 
-    slotted = known.filter(F.size("slots") > 0).select("item_id", "item_pos", "slots")
-    wanted = (null_safe_join(copies.select(*copy, F.explode("at").alias("at")).select(*copy, "at.*"), near(slotted), ["item_id", "item_pos"])
+    slotted = known.filter(F.size("slots") > 0).select("item_id", "literal", "item_pos", "slots")
+    wanted = (null_safe_join(copies.select(*copy, F.explode("at").alias("at")).select(*copy, "at.*"), near(slotted), ["item_id", "literal", "item_pos"])
               .select(*copy, F.explode(F.transform("slots", lambda s: F.struct(s["place"].alias("place"), s["value"].alias("value"),
                                                                                (s["place"] - F.col("item_pos") + F.col("pos")).alias("at")))).alias("s"))
               .distinct().groupBy(copy).agg(F.collect_list("s").alias("wanted")))

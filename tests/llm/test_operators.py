@@ -412,6 +412,19 @@ def test_leaks_in_several_copies(spark):
     assert all(r["consistent_slots"] >= 0.75 * r["n_slots"] and r["n_slots"] <= 8 for r in found if r["doc_id"] != 4)
 
 
+def test_leaks_of_numbers_and_few_words(spark):
+    dense = "Complete the sequence 2, 4, 8, 16, 32, 64, 128, 256, 512"
+    items = [(1, dense), (2, "1 2 4 7 11 16 22 29"), (3, "Define entropy briefly"), (4, "Why?"), (5, "3.5"), (6, "Name two primes above 10 and go on 11 13 17 19 23 29 31 37 41 43"), (7, "?!"), (8, "Solve 3 4 5")]
+    rows = [(10, f"Now then. {dense}. What is next?"), (11, "now complete the sequence 3, 6, 12, 24, 48, 96, 192, 384, 768."), (12, "a table 9 8 7 6 5 4 3 2 1 0 9 8 7 6 5 4 3 2 1"),
+            (20, "as in 1 2 4 7 11 16 22 29."), (21, "as in 1 2 4 7 11 16 22 30"), (30, "He said: define entropy briefly and go"), (31, "define entropy in brief"),
+            (40, "So it is. Why? Nobody knows"), (41, "nobody knows why it is"), (50, "It gives.\n3.5\n"), (51, "it gives 3.5 in all"), (60, "they count and go on 11 13 17 19 23 29 31 37 41 43 and so on"),
+            (80, "to solve 3 4 5 is easy"), (81, "to solve 6 7 8 is easy")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, items).collect()}
+    assert set(got) == {(10, 1), (11, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6), (80, 8), (81, 8)}
+    assert got[(10, 1)]["changed_slots"] == 0 and got[(11, 1)]["changed_slots"] > 5 and got[(20, 2)]["n_slots"] == 8
+
+
 def test_leaks_find_whole_items(spark, documents):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     holds = {r["doc_id"] for r in documents.collect() if any(i in r["text"] for i in items)}
