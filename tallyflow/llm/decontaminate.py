@@ -15,6 +15,9 @@ Item windows with placeholders in more than half of their places say little by t
 also searched by the literal windows (lower-cased words and numbers as they stand) of its whole text, judged by
 themselves; if it has no other windows, its templates with words in at least a quarter of their places are used too.
 
+A capitalised first word of an item is lower-cased as at the start of a sentence; as it is a name for the template behind a colon,
+comma, bracket or quote, the item's first window is searched in that form too, where the word is one more value.
+
 Defined cases: null and empty texts hold nothing; an item of 4 to 7 words has windows of 4; an item of 2 or 3 words
 is one literal window of that size; an item of one word is held where it stands alone between sentence ends, as a word
 inside a sentence is no copy; items without a word or number are not searched;
@@ -102,10 +105,15 @@ def _with_windows(rows: DataFrame, all_: str, literal: bool) -> DataFrame:
 
 
 def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
-    """(item_id, literal, size, item_pos, h, n_windows, slots) of the used windows; ``slots`` has place and value of placeholders."""
+    """(item_id, literal, size, item_pos, h, named, n_windows, slots) of the used windows; ``slots`` has place and value of placeholders.
+    ``named`` windows are first windows once more, with the first word as a name."""
     rows = items.select(F.col(name_of(item_id)).alias("item_id"), tokens(F.col(name_of(text))).alias("words")).distinct()
     rows = _with_windows(_with_windows(rows, "words", False), "words", True).withColumn("canon", template(F.col("words")))
     length = F.size("words")
+    behind = rows.select("item_id", "words", F.concat(F.array(F.lit("x")), "words").alias("behind"))
+    behind = _with_windows(behind, "behind", False).select("item_id", "words", F.get("h8", F.lit(1)).alias("named8"), F.get("h4", F.lit(1)).alias("named4"))
+    rows = null_safe_join(rows, behind, ["item_id", "words"])
+    rows = rows.withColumn("opens", F.when((length > 0) & F.get("words", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}"), _value(F.get("words", F.lit(0)))))
     rows = rows.withColumn("size", F.when(length >= WINDOW, WINDOW).when(length >= SHORT, SHORT).otherwise(length)).filter("size > 0")
     places = F.zip_with(F.col("canon"), F.col("words"), lambda c, w: F.when(F.startswith(c, F.lit("<")), _value(w)))
     # stored, as Spark would put these columns into the lambdas below and compute them for every window
@@ -128,7 +136,12 @@ def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
     used = F.when(F.size("plain") > 0, F.col("plain")).otherwise(with_slots_up_to(3))
     typed = rows.select("item_id", F.lit(False).alias("literal"), "size", F.explode(used).alias("w"))
     literal = rows.filter((F.col("size") < SHORT) | (F.size("plain") < F.size("typed"))).select("item_id", F.lit(True).alias("literal"), "size", F.explode("whole").alias("w"))
-    one = typed.union(literal).select("item_id", "literal", "size", "w.*")
+    one = typed.union(literal).select("item_id", "literal", "size", "w.*", F.lit(False).alias("named"))
+    first = rows.filter("opens IS NOT NULL").select("item_id", "size", "opens", "named8", "named4", F.explode(F.filter(used, lambda w: w["item_pos"] == 0)).alias("w"))
+    slots_named = F.concat(F.array(F.struct(F.lit(0).alias("place"), F.col("opens").alias("value"))), "w.slots")
+    first = first.select("item_id", F.lit(False).alias("literal"), "size", "w.item_pos", F.when(F.col("size") == WINDOW, F.col("named8")).otherwise(F.col("named4")).alias("h"),
+                         slots_named.alias("slots"), F.lit(True).alias("named"))
+    one = one.union(first.filter(F.size("slots") < F.col("size")))
     total = one.groupBy("item_id", "literal").agg(F.countDistinct("item_pos").alias("n_windows"))
     return null_safe_join(one, total, ["item_id", "literal"])
 
@@ -164,13 +177,13 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     hits = None
     for literal, size in sorted(kinds):
         hashes = _alone(F.col("text")) if size == 1 else F.col(f"l{size}" if literal else f"h{size}")
-        wanted = known.filter((F.col("literal") == literal) & (F.col("size") == size)).select("h", "item_id", "literal", "item_pos", "n_windows")
+        wanted = known.filter((F.col("literal") == literal) & (F.col("size") == size)).select("h", "item_id", "literal", "item_pos", "named", "n_windows")
         # the outer form: for the plain one Spark infers a filter on the array and computes the template twice
         found = (_with_windows(cut, "words", literal).select("doc_id", "text_key", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
                  .join(near(wanted), "h").drop("h"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = cut.select("doc_id", "text_key", F.lit(0).alias("pos")).join(known.select("item_id", "literal", "item_pos", "n_windows"), F.lit(False))
+        hits = cut.select("doc_id", "text_key", F.lit(0).alias("pos")).join(known.select("item_id", "literal", "item_pos", "named", "n_windows"), F.lit(False))
     hits = stored(hits.distinct(), "hits")
     pair = ["doc_id", "text_key", "item_id"]
     by = [*pair, "literal"]
@@ -179,11 +192,11 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
 
     copy = [*by, "level", "copy"]
     held_windows = _copies(null_safe_join(hits, found.select(*by), by, "left_semi"), by).groupBy(copy).agg(
-        F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("pos", "item_pos")).alias("at"))
+        F.countDistinct("item_pos").alias("matched_windows"), F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("pos", "item_pos", "named")).alias("at"))
     copies = stored(held_windows.filter(F.col("matched_windows") >= coverage * F.col("n_windows")), "copies")
 
-    slotted = known.filter(F.size("slots") > 0).select("item_id", "literal", "item_pos", "slots")
-    wanted = (null_safe_join(copies.select(*copy, F.explode("at").alias("at")).select(*copy, "at.*"), near(slotted), ["item_id", "literal", "item_pos"])
+    slotted = known.filter(F.size("slots") > 0).select("item_id", "literal", "item_pos", "named", "slots")
+    wanted = (null_safe_join(copies.select(*copy, F.explode("at").alias("at")).select(*copy, "at.*"), near(slotted), ["item_id", "literal", "item_pos", "named"])
               .select(*copy, F.explode(F.transform("slots", lambda s: F.struct(s["place"].alias("place"), s["value"].alias("value"),
                                                                                (s["place"] - F.col("item_pos") + F.col("pos")).alias("at")))).alias("s"))
               .distinct().groupBy(copy).agg(F.collect_list("s").alias("wanted")))

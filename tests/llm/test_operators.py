@@ -425,6 +425,15 @@ def test_leaks_of_numbers_and_few_words(spark):
     assert got[(10, 1)]["changed_slots"] == 0 and got[(11, 1)]["changed_slots"] > 5 and got[(20, 2)]["n_slots"] == 8
 
 
+def test_leaks_behind_other_marks(spark):
+    items = [(1, "What is the capital city of the country"), (2, "Name both largest rivers")]
+    heads = ["Question: ", "so, ", "see (", 'as in "', "Q - ", "", "Then. "]
+    rows = [(10 * i + j, f"{head}{text} now") for i, text in items for j, head in enumerate(heads)] + [(5 + 90, "Question: What is the largest city of the country")]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(10 * i + j, i) for i, _ in items for j in range(len(heads))}
+    assert all(r["changed_slots"] == 0 for r in found)
+
+
 def test_leaks_find_whole_items(spark, documents):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     holds = {r["doc_id"] for r in documents.collect() if any(i in r["text"] for i in items)}
