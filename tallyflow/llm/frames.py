@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tallyflow.llm.text import chunks
+from tallyflow.llm.text import CHUNK_BYTES, chunks
 from tallyflow.sources.storage import durable, work_path
 
 
@@ -28,9 +28,10 @@ def remainder(doc_id: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(name_of(doc_id)).cast("string"), F.lit(""))) % by
 
 
-def add_columns(docs: DataFrame, text: str, fields: list[StructField], make: Callable, keep: list[str]) -> DataFrame:
+def add_columns(docs: DataFrame, text: str, fields: list[StructField], make: Callable, keep: list[str],
+                limit: int = CHUNK_BYTES) -> DataFrame:
     """``keep`` columns of ``docs`` followed by ``fields`` computed from the text. ``make()`` runs once a
-    task and returns a function (data, offsets, slice) -> list of Arrow arrays; see ``text.chunks``."""
+    task and returns a function (data, offsets, slice) -> list of Arrow arrays; see ``text.chunks``, which takes ``limit``."""
     hidden = free_name(keep, "text_of_row")
     kept = docs.select(*[F.col(name_of(c)) for c in keep],
                        F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias(hidden))
@@ -38,7 +39,7 @@ def add_columns(docs: DataFrame, text: str, fields: list[StructField], make: Cal
 
     def run(batches):
         of = make()
-        for part, data, offsets in chunks(batches, hidden):
+        for part, data, offsets in chunks(batches, hidden, limit):
             new = of(data, offsets, part)
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + new, names=schema.names)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyflow.llm import decontaminate, hmm, language, ngram_join, packing, quality, simhash, token_files, toxicity, url_lists
+from tallyflow.llm import (bisector, decontaminate, hmm, language, ngram_join, packing, quality, sentence_pieces, simhash, token_files, toxicity,
+                           url_lists, vector_codes)
 from tallyflow.llm.frames import remainder
 from tallyflow.sources.storage import work_path
 
@@ -123,3 +124,63 @@ def op4(spark, sf_dir):
     seconds = F.lit(1_704_067_200) + F.col("page_id") * 7919 % 31_536_000
     out = url_lists.evaluate(pages.withColumn("fetched_at", F.timestamp_seconds(seconds)), _list_changes(pages))
     return out.select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_s"), "listed", "list_entry", "list_category", F.unix_seconds("listed_from").alias("listed_from_s"), "active_entries")
+
+
+# ---- integer vectors ---------------------------------------------------------------------------
+
+def _finite(n: str) -> str:
+    return f"embedding IS NOT NULL AND {n} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+_FLOOR_MEAN = "((sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*))::BIGINT"
+_SQUARE = "list_sum(list_transform(list_zip(w, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8) -> str:
+    """Codebooks and codes with every round written out."""
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_finite("len(embedding) > 0")}),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * {width} + 1:p * {width} + {width}] AS w FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w AS c FROM parts QUALIFY e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT vec_id, label, p, w, min({{'d': {_SQUARE}, 'e': e}}) AS b FROM parts JOIN book{r} USING (p) GROUP BY vec_id, label, p, w)""")
+        if r < rounds:
+            steps.append(f"""flat{r} AS (SELECT p, b.e AS e, unnest(range({width})) AS i, unnest(w) AS v FROM near{r}),
+mean{r} AS (SELECT p, e, i, {_FLOOR_MEAN} AS v FROM flat{r} GROUP BY p, e, i),
+new{r} AS (SELECT p, e, list(v ORDER BY i) AS c FROM mean{r} GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, o.c) AS c FROM book{r} o LEFT JOIN new{r} n USING (p, e))""")
+    steps.append(f"""coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', b.e), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})""")
+    steps.append("""SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, digest""")
+    return "WITH " + ",\n".join(steps[:-1]) + "\n" + steps[-1]
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Centroids and clusters with every round written out."""
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings WHERE {_finite(f"len(embedding) = {dims}")}),
+book0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), vec_id) - 1 AS e, w AS c FROM kept QUALIFY e < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS MATERIALIZED (SELECT vec_id, w, min({{'d': {_SQUARE}, 'e': e}}) AS b FROM kept, book{r} GROUP BY vec_id, w)")
+        if r < rounds:
+            steps.append(f"""flat{r} AS (SELECT b.e AS e, unnest(range({dims})) AS i, unnest(w) AS v FROM near{r}),
+mean{r} AS (SELECT e, i, {_FLOOR_MEAN} AS v FROM flat{r} GROUP BY e, i),
+new{r} AS (SELECT e, list(v ORDER BY i) AS c FROM mean{r} GROUP BY e),
+book{r + 1} AS MATERIALIZED (SELECT e, coalesce(n.c, o.c) AS c FROM book{r} o LEFT JOIN new{r} n USING (e))""")
+    steps.append(f"""SELECT vec_id, b.e::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.e)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM near{rounds} JOIN book{rounds} ON b.e = e""")
+    return "WITH " + ",\n".join(steps[:-1]) + "\n" + steps[-1]
+
+
+@query("op11_mask_codes", _codes_sql())
+def op11(spark, sf_dir):
+    return vector_codes.code_errors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_bisector_clusters", _clusters_sql())
+def op12(spark, sf_dir):
+    by_hash = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    return bisector.clusters(table(spark, sf_dir, "embeddings"), by_hash)
+
+
+@query("op13_sentence_pieces")
+def op13(spark, sf_dir):
+    return sentence_pieces.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
