@@ -2,6 +2,7 @@
 analysis and principal components. Only d x d matrices reach the driver."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyflow.functions import argmax, round_half_even
 from tallyflow.operators.prepare import one_hot
-from tallyflow.operators.sums import augmented_gram
+from tallyflow.operators.sums import augmented_gram, matrix_sums
 
 
 def affine(vec: str | Column, weights: np.ndarray, bias: np.ndarray) -> Column:
@@ -33,6 +34,60 @@ def ridge_solve(gram: np.ndarray, d: int, alpha: float) -> tuple[np.ndarray, np.
     return weights, st / n - (sx / n) @ weights
 
 
+def ridge_free(rows: DataFrame, features: Callable, targets: Callable, alpha: float, tol: float = 1e-8) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ridge weights (d x t) and intercepts per key without a d x d matrix: conjugate gradients with a diagonal
+    preconditioner, one pass of ``X' (X P)`` over the rows a step for all keys and targets together. ``features(batch)``
+    gives {key: n x d}, ``targets(batch)`` n x t. A target is settled when its residual is below ``tol`` of its right side;
+    ``alpha`` must be positive. What a task sends and the driver holds is t x d numbers a key."""
+    if alpha <= 0:
+        raise ValueError("alpha must be positive")
+
+    def moments(batch):
+        t = targets(batch)
+        out = {key: np.vstack([x.sum(0), (x * x).sum(0), t.T @ x]) for key, x in features(batch).items()}
+        return {**out, -1: [[float(len(t)), *t.sum(0)]]}
+
+    first = matrix_sums(rows, moments)
+    n, st = first[-1][0, 0], first[-1][0, 1:]
+    mean, scale, right, w, p, rz, best = {}, {}, {}, {}, {}, {}, {}
+    for key, g in first.items():
+        if key < 0:
+            continue
+        mean[key] = g[0] / n
+        scale[key] = (np.maximum(g[1] - n * mean[key] ** 2, 0.0) + alpha)[:, None]
+        right[key] = g[2:].T - np.outer(mean[key], st)
+        best[key] = tol * np.linalg.norm(right[key], axis=0)
+        w[key] = np.zeros_like(right[key])
+        p[key] = right[key] / scale[key]
+        rz[key] = np.sum(right[key] * p[key], axis=0)
+    rest = dict(right)
+    size = max((len(r) for r in right.values()), default=0)
+    for _ in range(10 * size + 10):
+        open_ = {key: np.linalg.norm(rest[key], axis=0) > best[key] for key in rest}
+        at = {key: p[key] * o for key, o in open_.items() if o.any()}
+        if not at:
+            break
+        shared = rows.sparkSession.sparkContext.broadcast(at)
+
+        def products(batch, shared=shared):
+            return {key: (x.T @ (x @ shared.value[key])).T for key, x in features(batch).items() if key in shared.value}
+
+        for key, g in matrix_sums(rows, products).items():
+            o = open_[key]
+            q = g.T - n * np.outer(mean[key], mean[key] @ at[key]) + alpha * at[key]
+            step = np.where(o, rz[key] / np.where(o, np.sum(at[key] * q, axis=0), 1.0), 0.0)
+            w[key] = w[key] + step * at[key]
+            rest[key] = rest[key] - step * q
+            z = rest[key] / scale[key]
+            new = np.sum(rest[key] * z, axis=0)
+            p[key] = z + np.where(o, new / np.where(o, rz[key], 1.0), 0.0) * p[key]
+            rz[key] = np.where(o, new, rz[key])
+        shared.unpersist()
+    else:
+        raise RuntimeError("conjugate gradients did not settle")
+    return {key: (w[key], st / n - mean[key] @ w[key]) for key in w}
+
+
 @dataclass
 class RidgeModel:
     """Linear readout. With several targets ``prediction`` is the largest score's position;

@@ -1,12 +1,14 @@
 """Reservoir features, series regression, pseudo-labelling and self-training."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tallyflow.operators import classifiers as clf
-from tallyflow.operators import reservoir, sampling, semi, series
+from tallyflow.operators import prepare, reservoir, sampling, semi, series
 from tallyflow.plans.models import halves, order_rows, scored, vectors
-from tallyflow.plans.registry import hash60_sql, query, r6, table
+from tallyflow.plans.registry import hash60_sql, md5_sql, query, r6, table
 from tallyflow.sources import work_path
 from tallyflow.streaming import continue_stream
 
@@ -78,6 +80,44 @@ def _(spark, sf):
     return scored(reservoir.fit_reservoir(train, "vec", "y", "row_id", 10, two, k=10), test)
 
 
+def wide(units, **kw):
+    """The reservoirs of the two widest embeddings: 75 components of 2 x 50 states, 100 of 2 x 250."""
+    return reservoir.Reservoir((small(units=units, **kw),))
+
+
+@query("reservoir_embedding_wide")
+def _(spark, sf):
+    train, test = halves(vectors(spark, sf).select("row_id", "vec", "y", "is_test"))
+    a, b = reservoir.reservoir_embedding(train, test, "vec", "row_id", wide(50, density=0.01), k=75)
+    return a.unionByName(b).select("row_id", "is_test", "embedding")
+
+
+@query("clf_reservoir_wide")
+def _(spark, sf):
+    train, test = halves(vectors(spark, sf))
+    return scored(reservoir.fit_reservoir(train, "vec", "y", "row_id", 10, wide(250, rho=1.0, leak=1.0, density=1.0, scaling=1.0), k=100, alpha=1.0,
+                                          readout_alpha=1.0), test)
+
+
+_WAVE = 32
+
+
+def waves(spark, sf):
+    """Customers as one wave each: a full number of periods by segment (first two of five, or the rest), the phase by key."""
+    df = prepare.label_encode(table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), "c_mktsegment"), "c_mktsegment")
+    df = df.withColumn("y", (F.col("y") >= 2).cast("double"))
+    turn = lambda i: (i * 2 * (F.col("y") + 1.0) / _WAVE + (F.col("row_id") % 97) / 97.0) * (2 * math.pi)
+    df = df.withColumn("vec", F.transform(F.sequence(F.lit(0), F.lit(_WAVE - 1)), lambda i: F.sin(turn(i))))
+    return sampling.split_hash(df, "row_id", 0.5, 0)
+
+
+@query("clf_reservoir_waves", f"""WITH c AS (SELECT c_custkey AS row_id, (dense_rank() OVER (ORDER BY c_mktsegment) > 2)::BIGINT AS y,
+ substr({md5_sql(0, 'c_custkey')}, 1, 8) < '80000000' AS is_test FROM customer) SELECT row_id, y, y AS prediction FROM c WHERE is_test""")
+def _(spark, sf):
+    train, test = halves(waves(spark, sf))
+    return scored(reservoir.fit_reservoir(train, "vec", "y", "row_id", 2, wide(50, scaling=1.0, noise=0.001), k=75), test)
+
+
 # ---- many series ------------------------------------------------------------------------------
 
 SPEC = series.SeriesSpec(inputs=1, outputs=1, units=30, rho=0.8, noise=0.0, input_scaling=1.0, teacher_scaling=0.002, seed=3)

@@ -118,7 +118,43 @@ def test_reservoir_classifier_tells_shapes_apart(spark):
     assert model.transform(df).filter("prediction = y").count() > 110
     assert reservoir.score_reservoirs(df, "y", {0: model})[0] > 110 / 120
     with pytest.raises(ValueError):
-        reservoir.fit_reservoir(df, "v", "y", "id", 2, reservoir.Reservoir((layer,)), k=65)
+        reservoir.fit_reservoir(df, "v", "y", "id", 2, reservoir.Reservoir((layer,)), k=6, method="other")
+
+
+def test_readout_without_a_matrix_equals_the_direct_one(spark):
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.normal(size=(60, 24)), np.arange(60) % 3).repartition(3)
+    made = {i: reservoir.Reservoir((reservoir.Layer(units=12 + i, rho=0.8, leak=0.5, scaling=0.4, noise=0.001, seed=i),)) for i in (0, 4)}
+    for code in (False, True):
+        models = [reservoir.fit_reservoirs(df, "v", "y", "id", 3, made, k=20, alpha=1.0, code_target=code, method=m) for m in ("direct", "free")]
+        for i in made:
+            assert np.allclose(models[0][i].weights, models[1][i].weights, atol=1e-7) and np.allclose(models[0][i].bias, models[1][i].bias, atol=1e-7)
+
+
+@pytest.mark.parametrize("units,k", [(50, 75), (250, 100)])
+def test_wide_embeddings(spark, units, k):
+    rng = np.random.default_rng(9)
+    df = frame(spark, rng.normal(size=(12, 64)), np.arange(12) % 2)
+    r = reservoir.Reservoir((reservoir.Layer(units=units, rho=0.6, leak=0.6, density=0.1, scaling=0.1, noise=0.01, washout=5),))
+    model = reservoir.fit_reservoir(df, "v", "y", "id", 2, r, k=k)
+    x, ids = np.array([row["v"] for row in df.collect()]), np.arange(12)
+    e = model.embedder.embed(x, ids)
+    assert e.shape == (12, k * k + k)
+    t, c = (np.arange(12)[:, None] % 2 == np.arange(2)).astype(float), e - e.mean(0)
+    w = c.T @ np.linalg.solve(c @ c.T + 5 * np.eye(12), t - t.mean(0))
+    assert np.allclose(model.weights, w, atol=1e-7)
+    wide = model.embedder.transform(df, "v", "id").orderBy("id").collect()
+    assert np.allclose([row["embedding"] for row in wide], e)
+
+
+def test_ridge_over_steps_equals_ridge_over_components():
+    h = np.random.default_rng(10).normal(size=(3, 9, 14))
+    got = reservoir.next_state_ridge(h, 2.0)
+    for i in range(3):
+        x, y = h[i, :-1], h[i, 1:]
+        xc = x - x.mean(0)
+        w = np.linalg.solve(xc.T @ xc + 2 * np.eye(14), xc.T @ (y - y.mean(0)))
+        assert np.allclose(got[i], np.concatenate([w.T.ravel(), y.mean(0) - x.mean(0) @ w]))
 
 
 SPEC = series.SeriesSpec(inputs=1, outputs=1, units=12, rho=0.7, noise=0.0, input_scaling=0.5, input_shift=0.1,
