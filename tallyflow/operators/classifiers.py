@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyflow.functions import argmax
 from tallyflow.operators.combine import union_slices
+from tallyflow.operators.margins import Task, fit_linear, fit_linear_folds
 from tallyflow.operators.passes import held
 
 PARALLEL_FITS = 4
@@ -80,8 +81,9 @@ def fit_logistic_regression(train, features="features", label="y", C=None, **p):
     return fit_held(logistic_regression(features, label, C or 1.0, n, **p), train)
 
 
-def fit_linear_svm(train, features="features", label="y", C: float = 1.0, **p):
-    return fit_held(linear_svm(features, label, C, train.count(), **p), train)
+def fit_linear_svm(train, features="features", label="y", C: float = 1.0, penalty: str = "l2", **options):
+    """Squared-hinge classifiers of all classes, fitted in shared passes."""
+    return fit_linear(train, features, label, task=Task(C, penalty), **options)
 
 
 def fit_perceptron(train, layers, features="features", label="y", **p):
@@ -151,6 +153,17 @@ def fit_rbf_svm(train: DataFrame, vec: str, label: str = "y", C: float = 1.0, ga
     return MappedModel(mapping, fit_linear_svm(mapped, "_mapped", label, C, **p), "_mapped")
 
 
+def rbf_svm_folds(df: DataFrame, fold_col: str, vec: str, label: str = "y", C: float = 1.0, gamma: float | None = None, size: int = 256,
+                  seed: int = 0, **options) -> MappedModel:
+    """Gaussian-kernel SVM per fold, all fitted without their fold in shared passes; every row is scored by its own fold's model. The
+    default width comes from all rows, labels and folds apart."""
+    d, var = _spread(df, vec)
+    width = gamma if gamma is not None else 1.0 / (d * var if var > 0 else d)
+    mapping = lambda: fourier_map(vec, d, size, width, seed)
+    mapped = df.withColumn("_mapped", array_to_vector(mapping()))
+    return MappedModel(mapping, fit_linear_folds(mapped, fold_col, "_mapped", label, task=Task(C), **options), "_mapped")
+
+
 def fit_poly_svm(train: DataFrame, vec: str, label: str = "y", C: float = 1.0, degree: int = 3,
                  gamma: float | None = None, size: int = 256, seed: int = 0, **p) -> "CalibratedModel":
     """Polynomial-kernel SVM on random product features, with calibrated probabilities."""

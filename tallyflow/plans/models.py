@@ -7,7 +7,8 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tallyflow.operators import classifiers as clf
-from tallyflow.operators import linear, neighbours, networks, prepare, project, sampling
+from tallyflow.operators import linear, margins, neighbours, networks, prepare, project, sampling
+from tallyflow.operators.margins import Task
 from tallyflow.plans.registry import draw_sql, md5_sql, query, r6, table
 
 KNN = 5
@@ -178,23 +179,74 @@ _classifier("clf_decision_tree", lambda tr: clf.fit_decision_tree(tr))
 _classifier("clf_random_forest", lambda tr: clf.fit_random_forest(tr, numTrees=30, maxDepth=8))
 _classifier("clf_extra_trees", lambda tr: clf.fit_extra_trees(tr, numTrees=30, maxDepth=8))
 _classifier("clf_logreg", lambda tr: clf.fit_logistic_regression(tr, C=1.0))
-_classifier("clf_linear_svm", lambda tr: clf.fit_linear_svm(tr, maxIter=20))
-_classifier("clf_rbf_svm", lambda tr: clf.fit_rbf_svm(tr, "vec", size=64, maxIter=20))
-_classifier("clf_poly_svm", lambda tr: clf.fit_poly_svm(tr, "vec", size=64, maxIter=20))
+_classifier("clf_linear_svm", lambda tr: clf.fit_linear_svm(tr))
+_classifier("clf_rbf_svm", lambda tr: clf.fit_rbf_svm(tr, "vec"))
+_classifier("clf_poly_svm", lambda tr: clf.fit_poly_svm(tr, "vec"))
 _classifier("clf_mlp", lambda tr: clf.fit_perceptron(tr, [3, 16, 3], maxIter=40))
 _classifier("clf_mlp_wide", lambda tr: clf.fit_perceptron(tr, [64, 200, 100, 50, 10], maxIter=20), vectors)
 
 
+# ---- linear classifiers in shared passes ------------------------------------------------------
+
+_CORNERS = _ORD + """,
+ c AS (SELECT row_id, is_test, CASE WHEN x2 > 0.75::DOUBLE THEN 2 WHEN x1 > 0.75::DOUBLE THEN 1 ELSE 0 END AS y FROM r
+  WHERE x2 > 0.75::DOUBLE OR x2 < 0.25::DOUBLE AND (x1 < 0.25::DOUBLE OR x1 > 0.75::DOUBLE))"""
+
+
+def corners(spark, sf):
+    """Orders in three regions of (price, customer) that straight lines part with room to spare; y is the region."""
+    price, cust = F.col("o_totalprice"), F.col("o_custkey")
+    df = _pairs(spark, sf).filter((cust > 0.75) | (cust < 0.25) & ((price < 0.25) | (price > 0.75)))
+    return df.withColumn("y", F.when(cust > 0.75, 2.0).when(price > 0.75, 1.0).otherwise(0.0))
+
+
+@query("clf_linear_corners", _CORNERS + " SELECT row_id, y::BIGINT AS y, y::BIGINT AS prediction FROM c WHERE is_test")
+def _(spark, sf):
+    train, test = halves(corners(spark, sf))
+    return scored(clf.fit_linear_svm(train, "vec"), test)
+
+
+@query("svm_grid_corners", _CORNERS + """, g AS (SELECT * FROM (VALUES ('l2', 1.0::DOUBLE), ('l2', 0.1::DOUBLE), ('l1', 1.0::DOUBLE), ('l1', 0.1::DOUBLE)) t(penalty, C))
+ SELECT 'squared_hinge' AS loss, penalty, C, avg(1.0::DOUBLE) AS accuracy, penalty = 'l2' AND C = 1 AS is_best FROM g, c GROUP BY ALL""")
+def _(spark, sf):
+    df = sampling.contiguous_folds(corners(spark, sf).select("row_id", "vec", "y"), ["row_id"], 5)
+    return margins.linear_grid(df, "fold", [Task(c, p) for p in ("l2", "l1") for c in (1.0, 0.1)], "vec")
+
+
+@query("svm_grid")
+def _(spark, sf):
+    """Penalties and C of the linear SVM over five folds of the orders."""
+    df = sampling.contiguous_folds(order_rows(spark, sf).select("row_id", "vec", "y"), ["row_id"], 5)
+    return margins.linear_grid(df, "fold", [Task(c, p) for p in ("l2", "l1") for c in (1.0, 0.1, 0.01, 0.001)], "vec")
+
+
+def _fold_accuracy(out):
+    return out.groupBy("fold").agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("cv_logistic")
+def _(spark, sf):
+    """Accuracy by fold of ten stratified folds, fitted and scored together."""
+    df = folded(spark, sf, 10)
+    return _fold_accuracy(margins.fit_linear_folds(df, "fold", task=Task(1.0, loss="logistic")).transform(df))
+
+
+@query("cv_rbf_svm")
+def _(spark, sf):
+    df = sampling.stratified_folds(order_rows(spark, sf).select("row_id", "vec", "y"), "y", 10, 7, "row_id")
+    return _fold_accuracy(clf.rbf_svm_folds(df, "fold", "vec", size=64).transform(df))
+
+
 @query("calibrate")
 def _(spark, sf):
     train, test = halves(order_rows(spark, sf))
-    out = clf.calibrate(clf.fit_linear_svm(train, maxIter=20), train).transform(test)
+    out = clf.calibrate(clf.fit_linear_svm(train), train).transform(test)
     return out.select("row_id", "probability", "prediction")
 
 
 def vote_parts(train, test, classes, n_rows, svm_c=1.0, trees=30, lr_c=1.0, lr_iter=50, k=KNN):
     """Test rows with the probability arrays of the five voters."""
-    models = {"p_svm": clf.fit_poly_svm(train, "vec", C=svm_c, size=64, maxIter=10),
+    models = {"p_svm": clf.fit_poly_svm(train, "vec", C=svm_c, size=64),
               "p_rf": clf.fit_random_forest(train, numTrees=trees, maxDepth=8),
               "p_lr": clf.fit_held(clf.logistic_regression(C=lr_c, n=n_rows, maxIter=lr_iter), train),
               "p_lda": linear.discriminant_fit(train, "vec", "y", classes)}

@@ -39,9 +39,9 @@ FITS = {
     "forest": lambda tr: clf.fit_random_forest(tr, numTrees=10),
     "extra": lambda tr: clf.fit_extra_trees(tr, numTrees=10),
     "logistic": lambda tr: clf.fit_logistic_regression(tr, C=10.0),
-    "linear svm": lambda tr: clf.fit_linear_svm(tr, C=10.0, maxIter=20),
-    "rbf svm": lambda tr: clf.fit_rbf_svm(tr, "vec", C=10.0, size=64, maxIter=20),
-    "poly svm": lambda tr: clf.fit_poly_svm(tr, "vec", C=10.0, gamma=4.0, size=128, maxIter=30),
+    "linear svm": lambda tr: clf.fit_linear_svm(tr, C=10.0),
+    "rbf svm": lambda tr: clf.fit_rbf_svm(tr, "vec", C=10.0, size=64),
+    "poly svm": lambda tr: clf.fit_poly_svm(tr, "vec", C=10.0, gamma=4.0, size=128),
     "perceptron": lambda tr: clf.fit_perceptron(tr, [4, 8, 3]),
     "belief net": lambda tr: networks.fit_belief_net(tr, "vec", "features", "y", "row_id", 3, hidden=8, iters=3),
     "discriminant": lambda tr: linear.discriminant_fit(tr, "vec", "y", 3),
@@ -93,7 +93,7 @@ def test_voting_and_calibration(rows):
     both = rows.select("row_id", F.array(F.lit(0.6), F.lit(0.4)).alias("a"), F.array(F.lit(0.1), F.lit(0.9)).alias("b"))
     assert clf.soft_vote(both, ["a", "b"]).filter("prediction <> 1").count() == 0
     assert clf.soft_vote(both, ["a", "b"], [9.0, 1.0]).filter("prediction <> 0").count() == 0
-    out = clf.calibrate(clf.fit_linear_svm(rows, maxIter=20), rows).transform(rows)
+    out = clf.calibrate(clf.fit_linear_svm(rows), rows).transform(rows)
     assert out.filter(F.abs(F.aggregate("probability", F.lit(0.0), lambda s, v: s + v) - 1) > 1e-9).count() == 0
     assert out.filter("prediction = y").count() > 270
 
