@@ -47,9 +47,10 @@ def _emit(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
              pa.array([sums[k] for k in part], pa.list_(pa.float64()))], ["key", "row", "vec"])
 
 
-def matrix_sums(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[int, np.ndarray]]
-                ) -> dict[int, np.ndarray]:
-    """Sum ``per_batch(batch)[key]`` over all batches of ``df``; one matrix per key comes back."""
+def matrix_sums(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[int, np.ndarray]],
+                combine: Callable = np.add) -> dict[int, np.ndarray]:
+    """Sum ``per_batch(batch)[key]`` over all batches of ``df``; one matrix per key comes back. ``combine``
+    may be another function that can be applied in any order, such as ``np.minimum``."""
 
     def partial(batches):
         total: dict[int, np.ndarray] = {}
@@ -58,7 +59,7 @@ def matrix_sums(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[int, n
                 continue
             for key, m in per_batch(batch).items():
                 m = np.atleast_2d(np.asarray(m, dtype=np.float64))
-                total[key] = total[key] + m if key in total else m
+                total[key] = combine(total[key], m) if key in total else m
         yield from _emit({(k, i): m[i] for k, m in total.items() for i in range(m.shape[0])})
 
     def merge(batches):
@@ -69,7 +70,7 @@ def matrix_sums(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[int, n
             for i in range(batch.num_rows):
                 at = (int(keys[i]), int(rows[i]))
                 v = vecs[i].values.to_numpy(zero_copy_only=False)
-                total[at] = total[at] + v if at in total else v.copy()
+                total[at] = combine(total[at], v) if at in total else v.copy()
         yield from _emit(total)
 
     merged = (df.mapInArrow(partial, _SCHEMA).repartition("key", "row").mapInArrow(merge, _SCHEMA))
