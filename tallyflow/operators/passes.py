@@ -26,3 +26,9 @@ def held(df: DataFrame):
     finally:
         for k in reversed(kept):
             k.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores if they come in fewer partitions, for work that costs far more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tallyflow.operators import classifiers as clf
-from tallyflow.operators import linear, margins, neighbours, networks, prepare, project, sampling
+from tallyflow.operators import linear, margins, neighbours, networks, prepare, project, sampling, trees
 from tallyflow.operators.margins import Task
 from tallyflow.plans.registry import draw_sql, md5_sql, query, r6, table
 
@@ -175,9 +175,13 @@ def _classifier(name, fit, rows=order_rows):
         return scored(fit(train), test)
 
 
-_classifier("clf_decision_tree", lambda tr: clf.fit_decision_tree(tr))
-_classifier("clf_random_forest", lambda tr: clf.fit_random_forest(tr, numTrees=30, maxDepth=8))
-_classifier("clf_extra_trees", lambda tr: clf.fit_extra_trees(tr, numTrees=30, maxDepth=8))
+def _forest(spec, vec="vec", classes=3):
+    return lambda tr: trees.fit_forest(tr, vec, "y", "row_id", classes, spec)
+
+
+_classifier("clf_decision_tree", _forest(trees.DECISION_TREE))
+_classifier("clf_random_forest", _forest(trees.RANDOM_FOREST))
+_classifier("clf_extra_trees", _forest(trees.EXTRA_TREES))
 _classifier("clf_logreg", lambda tr: clf.fit_logistic_regression(tr, C=1.0))
 _classifier("clf_linear_svm", lambda tr: clf.fit_linear_svm(tr))
 _classifier("clf_rbf_svm", lambda tr: clf.fit_rbf_svm(tr, "vec"))
@@ -206,6 +210,33 @@ def _(spark, sf):
     return scored(clf.fit_linear_svm(train, "vec"), test)
 
 
+@query("forest_corners", _CORNERS + " SELECT row_id, y::BIGINT AS y, y::BIGINT AS prediction FROM c WHERE is_test")
+def _(spark, sf):
+    train, test = halves(corners(spark, sf))
+    return scored(_forest(trees.RANDOM_FOREST)(train), test)
+
+
+def bands(spark, sf):
+    """Orders whose class alternates over 200 bands of the customer key."""
+    return _pairs(spark, sf).withColumn("y", F.floor(F.col("o_custkey") * 200) % 2)
+
+
+_BANDS = _ORD + """ SELECT row_id, floor(x2 * 200)::BIGINT % 2 AS y, floor(x2 * 200)::BIGINT % 2 AS prediction FROM r"""
+
+
+@query("tree_bands", _BANDS)
+def _(spark, sf):
+    """A rule that needs far more than 30 levels, learnt and read back by one tree."""
+    df = bands(spark, sf)
+    return scored(_forest(trees.DECISION_TREE, classes=2)(df), df)
+
+
+@query("extra_trees_bands", _BANDS)
+def _(spark, sf):
+    df = bands(spark, sf)
+    return scored(_forest(trees.EXTRA_TREES, classes=2)(df), df)
+
+
 @query("svm_grid_corners", _CORNERS + """, g AS (SELECT * FROM (VALUES ('l2', 1.0::DOUBLE), ('l2', 0.1::DOUBLE), ('l1', 1.0::DOUBLE), ('l1', 0.1::DOUBLE)) t(penalty, C))
  SELECT 'squared_hinge' AS loss, penalty, C, avg(1.0::DOUBLE) AS accuracy, penalty = 'l2' AND C = 1 AS is_best FROM g, c GROUP BY ALL""")
 def _(spark, sf):
@@ -231,6 +262,12 @@ def _(spark, sf):
     return _fold_accuracy(margins.fit_linear_folds(df, "fold", task=Task(1.0, loss="logistic")).transform(df))
 
 
+@query("cv_random_forest")
+def _(spark, sf):
+    df = sampling.stratified_folds(order_rows(spark, sf).select("row_id", "vec", "y"), "y", 10, 7, "row_id")
+    return _fold_accuracy(trees.fit_forest(df, "vec", "y", "row_id", 3, trees.RANDOM_FOREST, "fold", 10).transform(df))
+
+
 @query("cv_rbf_svm")
 def _(spark, sf):
     df = sampling.stratified_folds(order_rows(spark, sf).select("row_id", "vec", "y"), "y", 10, 7, "row_id")
@@ -330,7 +367,8 @@ def _(spark, sf):
 # ---- importances ------------------------------------------------------------------------------
 
 def _importance(spark, sf, extra=False):
-    return clf.forest_importance(order_rows(spark, sf), ORDER_FEATURES, extra=extra, numTrees=20, maxDepth=6)
+    spec = trees.Spec(rule="drawn", bootstrap=False, seed=123) if extra else trees.Spec(criterion="entropy", seed=123)
+    return trees.fit_forest(order_rows(spark, sf), "vec", "y", "row_id", 3, spec).rank(ORDER_FEATURES)
 
 
 @query("feature_rank")
