@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.llm.frames import name_of, stored
 from tallyflow.llm.text import chunks
-from tallyflow.llm.tokens import encoder, with_end
+from tallyflow.llm.tokens import ENCODE_BYTES, encoder, with_end
 
 BUCKET_ROWS = 50_000
 
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, text: str =
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for part, data, offsets in chunks(batches, "text"):
+        for part, data, offsets in chunks(batches, "text", ENCODE_BYTES):
             ids, at = with_end(*encoder(tokenizer).encode(data, offsets), end)
             size = np.diff(at)
             n = -(-size // capacity)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyflow.llm.frames import name_of
 from tallyflow.llm.text import chunks
-from tallyflow.llm.tokens import encoder, with_end
+from tallyflow.llm.tokens import ENCODE_BYTES, encoder, with_end
 
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCUMENTS = 4096
@@ -51,7 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "tex
     kind = f"<u{width}"
 
     def serialise(batches):
-        for part, data, offsets in chunks(batches, "text"):
+        for part, data, offsets in chunks(batches, "text", ENCODE_BYTES):
             ids, at = with_end(*encoder(tokenizer).encode(data, offsets), end)
             yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].astype(kind).tobytes()[:1 << 16] for a, b in zip(at, at[1:])], pa.binary())], names=["b"])
 
@@ -79,7 +79,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "tex
             before, block, held, bytes_held = before + sum(h[1] for h in held), block + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
 
-        for part, data, offsets in chunks(batches, "text"):
+        for part, data, offsets in chunks(batches, "text", ENCODE_BYTES):
             ids, at = with_end(*encoder(tokenizer).encode(data, offsets), end)
             out = ids.astype(kind)
             for key, a, b in zip(part.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist()):

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 from tallyflow.llm.text import words
 
+#: Bytes of text encoded at once: pieces that repeat inside a chunk are looked up once.
+ENCODE_BYTES = 4 << 20
 #: Distinct pieces kept by a Python worker before it starts again with none.
 REMEMBERED = 800_000
 _RARE = np.zeros(256, bool)
