@@ -48,15 +48,28 @@ _DIST = "round(sqrt(list_sum(list_transform(list_zip(q.v, t.v), lambda p: pow(p[
 _VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 
-@query("knn_neighbours", f"""WITH e AS ({_VEC}), d AS (SELECT q.vec_id AS query_id, t.vec_id AS train_id, list_distance(q.v, t.v) AS dd,
+_KNN_SQL = f"""WITH e AS ({_VEC}), d AS (SELECT q.vec_id AS query_id, t.vec_id AS train_id, list_distance(q.v, t.v) AS dd,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS rank FROM e q CROSS JOIN e t)
- SELECT query_id, train_id, round(dd, 6) AS distance, rank::BIGINT AS rank FROM d WHERE rank <= 6""")
-def _(spark, sf):
+ SELECT query_id, train_id, round(dd, 6) AS distance, rank::BIGINT AS rank FROM d WHERE rank <= 6"""
+
+
+def _neighbours(spark, sf, **options):
     df = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    found = neighbours.knn_join(df, df, "v", "vec_id", "vec_id", 6)
+    found = neighbours.knn_join(df, df, "v", "vec_id", "vec_id", 6, **options)
     return found.select("query_id", "train_id", r6("distance", "distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("knn_neighbours", _KNN_SQL)
+def _(spark, sf):
+    return _neighbours(spark, sf)
+
+
+@query("knn_neighbours_rounds", _KNN_SQL)
+def _(spark, sf):
+    """The path for train sides beyond a broadcast, forced."""
+    return _neighbours(spark, sf, broadcast_bytes=0, rows_per_piece=100)
+
+
 @query("clf_knn", f"""WITH e AS (SELECT *, substr({md5_sql(0, 'vec_id')}, 1, 8) < '80000000' AS is_test FROM ({_VEC})),
  d AS (SELECT q.vec_id AS row_id, q.label AS y, t.label AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS rk
   FROM e q CROSS JOIN e t WHERE q.is_test AND NOT t.is_test), v AS (SELECT row_id, y, c, count(*) AS n FROM d WHERE rk <= {KNN} GROUP BY ALL)

@@ -31,6 +31,19 @@ def test_neighbours_are_exact_on_every_path(spark, broadcast_bytes, piece):
     assert all(abs(r["distance"] - want[(r["query_id"], r["train_id"])]) < 1e-12 for r in got)
 
 
+def test_rounds_rule_out_most_pieces(spark):
+    rng = np.random.default_rng(11)
+    t = np.concatenate([rng.normal(size=(60, 3)) * 0.1 + 10 * c for c in rng.normal(size=(20, 3))])
+    t[:300] = t[0]                                          # a fifth of the rows is one point
+    q = t[::25] + 0.01
+    trace = []
+    got = neighbours.knn_join(frame(spark, q), frame(spark, t), "v", "id", "id", 3, 0, 40, trace=trace).collect()
+    want = brute(q, t, 3)
+    assert {(r["query_id"], r["train_id"]) for r in got} == set(want)
+    pieces = len(t) / 40
+    assert len(trace) > 1 and sum(trace) < 0.35 * len(q) * pieces
+
+
 def test_fewer_train_rows_than_neighbours(spark):
     x = np.random.default_rng(0).normal(size=(3, 2))
     for limit in (1 << 26, 0):
