@@ -3,9 +3,10 @@ and continuation from the last training state.
 
 A series is cut into consecutive segments of bounded length, so one very long series does not
 become one task. A segment needs the reservoir state at its start. All segments first run from
-an empty start; then the end of each segment becomes the start of the next one and the segments
-whose start changed run again, until no start changes. Segment j is exact after at most j rounds,
-and a reservoir forgets its start, so a few rounds are enough.
+an empty start, and a few from a second one. If these forget their start, the end of each segment
+becomes the start of the next one and the segments whose start changed run again together, until none
+changes. If they do not, segment j runs once more when segment j - 1 is final: no segment runs more
+than twice, in as many turns as the longest series has segments.
 """
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.operators.noise import keyed_uniform
 from tallyflow.operators.sums import matrix_sums
-from tallyflow.sources.storage import durable
+from tallyflow.sources.storage import delete_work, durable, work_path
 
 ROWS_PER_SEGMENT = 20_000
 _STATE_BYTES = 128 << 20
@@ -142,8 +143,10 @@ def _run(x, y, n, ids, times, state, last_y, first, spec: SeriesSpec, readout=No
 
 
 def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray | None, starts: DataFrame | None,
-            tol: float) -> tuple[DataFrame, DataFrame]:
-    """(segments with exact starts, last state and output per series)."""
+            tol: float, trace: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments with exact starts, last state and output per series). All segments run once from a guessed start. If segments
+    forget their start, ends are passed on and what moved runs again, all together; if not, segment i waits until i - 1 is final,
+    so that none runs more than twice. ``trace`` receives the number of segments run in every round."""
     taught = readout is None
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
 
@@ -188,18 +191,25 @@ def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray
                 .withColumn("prev_y", F.when(head, F.coalesce("y0", "prev_y")).otherwise(F.col("prev_y"))) \
                 .drop("s0", "y0")
     starts_now = durable(ids)
-    pending, reached = starts_now, None
+    gap_of = lambda: F.array_max(F.zip_with("state", "in_s", lambda a, b: F.abs(a - b))) if taught else F.greatest(
+        F.array_max(F.zip_with("state", "in_s", lambda a, b: F.abs(a - b))), F.array_max(F.zip_with("prev_y", "in_y", lambda a, b: F.abs(a - b))))
+
+    def run(some: DataFrame) -> DataFrame:
+        done = durable(packed.join(some, ["series_id", "seg"]).mapInPandas(ends, schema))
+        if trace is not None:
+            trace.append(done.count())
+        return done
+
+    reached = run(starts_now)
+    if not _forgets(starts_now, reached, run, taught, tol):
+        starts_now, reached = _in_turn(packed, starts_now, reached, ends, schema, taught, trace)
+        last = _last_ends(reached)
+        return packed.join(starts_now, ["series_id", "seg"]), last
     while True:
-        ran = durable(packed.join(pending, ["series_id", "seg"]).mapInPandas(ends, schema))
-        reached = ran if reached is None else durable(
-            reached.join(ran.select("series_id", "seg"), ["series_id", "seg"], "left_anti").unionByName(ran))
         chained = starts_now.join(reached, ["series_id", "seg"]) \
             .withColumn("in_s", F.lag("end_s").over(order)).withColumn("in_y", F.lag("end_y").over(order))
-        gap = F.array_max(F.zip_with("state", "in_s", lambda a, b: F.abs(a - b)))
-        if not taught:
-            gap = F.greatest(gap, F.array_max(F.zip_with("prev_y", "in_y", lambda a, b: F.abs(a - b))))
         new_y = F.col("prev_y") if taught else F.coalesce("in_y", "prev_y")
-        chained = chained.withColumn("moved", F.coalesce(gap > tol, F.lit(False)))
+        chained = chained.withColumn("moved", F.coalesce(gap_of() > tol, F.lit(False)))
         keep = lambda new, old: F.when(F.col("moved"), new).otherwise(F.col(old))
         starts_now = durable(chained.select("series_id", "seg", "place", keep(F.col("in_s"), "state").alias("state"),
                                             keep(new_y, "prev_y").alias("prev_y"), "moved"))
@@ -207,9 +217,63 @@ def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray
         starts_now = starts_now.drop("moved")
         if pending.isEmpty():
             break
-    last = reached.groupBy("series_id").agg(F.max_by(F.struct("end_s", "end_y"), "seg").alias("e")) \
+        ran = run(pending)
+        reached = durable(reached.join(ran.select("series_id", "seg"), ["series_id", "seg"], "left_anti").unionByName(ran))
+    return packed.join(starts_now, ["series_id", "seg"]), _last_ends(reached)
+
+
+def _last_ends(reached: DataFrame) -> DataFrame:
+    return reached.groupBy("series_id").agg(F.max_by(F.struct("end_s", "end_y"), "seg").alias("e")) \
         .select("series_id", F.col("e.end_s").alias("state"), F.col("e.end_y").alias("prev_y"))
-    return packed.join(starts_now, ["series_id", "seg"]), last
+
+
+def _in_turn(packed: DataFrame, starts: DataFrame, reached: DataFrame, ends, schema: str, taught: bool, trace: list | None) -> tuple[DataFrame, DataFrame]:
+    """(starts, ends) of all segments, the segments of one place in all series at a time, each from the end before it. Segments are
+    written by place, so that a turn reads its own only; two turns' ends are all that passes between them."""
+    spark = packed.sparkSession
+    path = work_path(spark, "by-place")
+    packed.join(starts, ["series_id", "seg"]).write.partitionBy("place").parquet(path)
+    by_place = spark.read.parquet(path)
+    before = durable(reached.join(starts.filter("place = 0"), ["series_id", "seg"]))
+    done = before.select("series_id", "seg", "place", "state", "prev_y", "end_s", "end_y")
+    turns = starts.agg(F.max("place")).first()[0]
+    for place in range(1, turns + 1):
+        passed = before.select("series_id", F.col("end_s").alias("in_s"), F.col("end_y").alias("in_y"))
+        due = by_place.filter(F.col("place") == place).drop("state").join(passed, "series_id").withColumnRenamed("in_s", "state")
+        due = due.drop("in_y") if taught else due.drop("prev_y").withColumnRenamed("in_y", "prev_y")
+        ran = durable(due.mapInPandas(ends, schema)).join(passed, "series_id")
+        known = starts.filter(F.col("place") == place).select("series_id", "seg", "place", "prev_y")
+        before = durable(ran.join(known, ["series_id", "seg"]).select(
+            "series_id", "seg", "place", F.col("in_s").alias("state"), (F.col("prev_y") if taught else F.col("in_y")).alias("prev_y"), "end_s", "end_y"))
+        if trace is not None:
+            trace.append(before.count())
+        done = done.unionByName(before)
+        if place % 32 == 0:
+            done = durable(done)
+    done = durable(done)
+    delete_work(spark, path)
+    return done.select("series_id", "seg", "place", "state", "prev_y"), done.select("series_id", "seg", "end_s", "end_y")
+
+
+#: Segments that are run from a second start to see whether they forget it.
+_PROBES = 32
+
+
+def _forgets(starts: DataFrame, reached: DataFrame, run, taught: bool, tol: float) -> bool:
+    """True when segments reach the same end from a start far from the first one, so that ends may be passed on before they are
+    final. At most one segment a series is tried."""
+    later = starts.filter("place > 0")
+    series = later.select("series_id").distinct().count()
+    if not series:
+        return True
+    away = lambda c: F.transform(c, lambda v: v + 0.5)
+    probes = later.orderBy(F.xxhash64("series_id", "seg"), "series_id", "seg").limit(min(_PROBES, series))
+    if not taught:
+        probes = probes.withColumn("prev_y", away("prev_y"))
+    other = run(probes.withColumn("state", away("state"))).select("series_id", "seg", F.col("end_s").alias("s2"), F.col("end_y").alias("y2"))
+    far = F.greatest(*[F.array_max(F.zip_with(a, b, lambda v, w: F.abs(v - w))) for a, b in (("end_s", "s2"), ("end_y", "y2"))])
+    gap = other.join(reached, ["series_id", "seg"]).agg(F.max(far)).first()[0]
+    return gap is not None and gap <= tol
 
 
 @dataclass
@@ -228,10 +292,10 @@ class SeriesModel:
 
 
 def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str, spec: SeriesSpec,
-                         rows_per_segment: int = ROWS_PER_SEGMENT, tol: float = 1e-12) -> SeriesModel:
+                         rows_per_segment: int = ROWS_PER_SEGMENT, tol: float = 1e-12, trace: list | None = None) -> SeriesModel:
     """One readout for all series, from the summed normal equations of (state, input) -> target."""
     packed, cut = pack_segments(df, series_id, t, x, y, rows_per_segment)
-    segments, last = _settle(packed, cut, spec, None, None, tol)
+    segments, last = _settle(packed, cut, spec, None, None, tol, trace)
 
     def normal_equations(batch):
         total = 0.0
@@ -272,10 +336,10 @@ def _predict(segments: DataFrame, spec: SeriesSpec, readout: np.ndarray, taught:
 
 def series_continue(model: SeriesModel, df: DataFrame, series_id: str, t: str, x: str,
                     continuation: bool = True, rows_per_segment: int = ROWS_PER_SEGMENT,
-                    tol: float = 0.0) -> DataFrame:
+                    tol: float = 0.0, trace: list | None = None) -> DataFrame:
     """(series_id, t, y_hat) for new inputs. Each series starts from its last training state and
     output (or from zero) and its own output is fed back. A cut series is exact: with ``tol=0``
     rounds go on until every start equals the end before it."""
     packed, cut = pack_segments(df, series_id, t, x, None, rows_per_segment)
-    segments, _ = _settle(packed, cut, model.spec, model.readout, model.last if continuation else None, tol)
+    segments, _ = _settle(packed, cut, model.spec, model.readout, model.last if continuation else None, tol, trace)
     return _predict(segments, model.spec, model.readout, taught=False)

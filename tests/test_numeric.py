@@ -205,6 +205,18 @@ def test_series_regression_equals_the_sequential_run(spark, waves, segment):
     assert all(np.allclose(last[s], parts[s][2], atol=1e-10) for s in parts)
 
 
+@pytest.mark.parametrize("rho,segment,waits", [(0.3, 60, False), (0.99, 50, True)])
+def test_no_segment_runs_more_than_twice(waves, rho, segment, waits):
+    spec = series.SeriesSpec(inputs=1, outputs=1, units=12, rho=rho, noise=0.0, input_scaling=0.05, teacher_scaling=0.05, seed=5)
+    whole, runs = series.series_reservoir_fit(waves, "s", "t", "x", "y", spec), []
+    cut = series.series_reservoir_fit(waves, "s", "t", "x", "y", spec, rows_per_segment=segment, trace=runs)
+    segments = cut.segments.count()
+    assert segments > 6 and sum(runs) <= 2 * segments
+    assert (runs[2:] == [1] * 5) == waits
+    a, b = ({r["series_id"]: r["state"] for r in m.last.collect()} for m in (whole, cut))
+    assert all(np.allclose(a[s], b[s], atol=1e-10) for s in (1, 2, 3))
+
+
 def test_noise_does_not_depend_on_the_segments(waves):
     noisy = series.SeriesSpec(units=12, rho=0.7, noise=0.1, seed=5)
     runs = []
