@@ -8,14 +8,14 @@ long history compares a capture with the changes of one month at most. The longe
 
 Defined cases: changes of an entry at the same time count as one, an add wins and then the category last in order; unknown
 actions, null entries and null times are ignored; a capture without a host or time is on no list; repeated captures are evaluated each; an
-interval ends before its last instant; empty tables give no rows, or captures on no list. A key with many
-captures is split by Spark's skew join; extra columns of captures are carried along.
+interval ends before its last instant; empty tables give no rows, or captures on no list. Captures of one address and
+time are looked up once; a key with many captures is split by Spark's skew join; extra columns of captures are carried along.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyflow.llm.frames import name_of
+from tallyflow.llm.frames import free_name, name_of
 
 
 def host_of(url: Column) -> Column:
@@ -53,21 +53,26 @@ def _month(at: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched_at", **names) -> DataFrame:
-    """All columns of ``captures`` with listed, list_entry, list_category, listed_from and active_entries as of the fetch time."""
+    """All columns of ``captures`` with listed, list_entry, list_category, listed_from and active_entries as of the fetch time. A result
+    column whose name a capture column has gets underscores behind it."""
     columns = captures.columns
     at = F.col(name_of(fetched)).cast("timestamp")
-    rows = captures.select(F.struct(*[F.col(name_of(c)) for c in columns]).alias("capture"), F.monotonically_increasing_id().alias("row"), at.alias("at"),
-                           host_of(F.col(name_of(url)).cast("string")).alias("host"), path_of(F.col(name_of(url)).cast("string")).alias("path"))
+    address = F.col(name_of(url)).cast("string")
+    # captures of one address and time have one answer: they meet it by a 128-bit hash of both, which is the same in every run of a task
+    one, two = F.xxhash64(address, at), F.xxhash64(F.lit("second"), at, address)
+    rows = captures.select(F.struct(*[F.col(name_of(c)) for c in columns]).alias("capture"), one.alias("k1"), two.alias("k2"))
+    asked = captures.filter(address.isNotNull() & at.isNotNull()).select(one.alias("k1"), two.alias("k2"), at.alias("at"), host_of(address).alias("host"), path_of(address).alias("path"))
     spans = intervals(changes, **names)
     last = captures.agg(F.max(at)).first()[0]  # open intervals matter up to the last capture
     if last is None:
         spans = spans.filter(F.lit(False))
     end = F.least(F.coalesce("valid_to", F.lit(last).cast("timestamp")), F.lit(last).cast("timestamp"))
     spans = spans.filter(F.col("valid_from") <= F.lit(last).cast("timestamp")).select("*", F.explode_outer(F.sequence(_month(F.col("valid_from")), _month(end))).alias("month"))
-    keyed = rows.select("row", "at", _month(F.col("at")).alias("month"), F.explode_outer(keys_of(F.col("host"), F.col("path"))).alias("entry"))
+    keyed = asked.dropDuplicates(["k1", "k2"]).select("k1", "k2", "at", _month(F.col("at")).alias("month"), F.explode_outer(keys_of(F.col("host"), F.col("path"))).alias("entry"))
     active = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     best = F.struct(F.length("entry").alias("n"), "entry", "category", "valid_from")
-    found = keyed.join(spans, ["entry", "month"]).filter(active).groupBy("row").agg(F.max(best).alias("b"), F.count(F.lit(1)).alias("hits"))
-    out = rows.select("row", "capture").join(found, "row", "left")
-    return out.select("capture.*", F.col("b").isNotNull().alias("listed"), F.col("b.entry").alias("list_entry"), F.col("b.category").alias("list_category"),
-                      F.col("b.valid_from").alias("listed_from"), F.coalesce("hits", F.lit(0).cast("long")).alias("active_entries"))
+    found = keyed.join(spans, ["entry", "month"]).filter(active).groupBy("k1", "k2").agg(F.max(best).alias("b"), F.count(F.lit(1)).alias("hits"))
+    out = rows.join(found, ["k1", "k2"], "left")
+    new = {"listed": F.col("b").isNotNull(), "list_entry": F.col("b.entry"), "list_category": F.col("b.category"), "listed_from": F.col("b.valid_from"),
+           "active_entries": F.coalesce("hits", F.lit(0).cast("long"))}
+    return out.select("capture.*", *[c.alias(free_name(columns, name)) for name, c in new.items()])

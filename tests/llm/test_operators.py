@@ -472,3 +472,17 @@ def test_pipeline_stages(spark, documents, odd, none):
     ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     bad = {r["doc_id"] for r in queries.op7(spark, SF).collect()}
     assert not ids & bad and remainder("doc_id", 4) is not None and SCHEMA
+
+
+def test_lists_do_not_depend_on_how_captures_arrive(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    changes = queries._list_changes(pages)
+    stamped = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 7919 % 31_536_000)).withColumn("pad", F.repeat(F.md5("url"), 20))
+    twice = stamped.union(stamped.filter("page_id % 3 = 0"))
+    columns = ["page_id", "listed", "list_entry", "list_category", "listed_from", "active_entries"]
+    want = sorted(tuple(map(str, r)) for r in url_lists.evaluate(stamped, changes).select(*columns).collect())
+    want = sorted(want + [r for r in want if int(r[0]) % 3 == 0])
+    shuffled = twice.repartition(7, "pad").join(spark.range(0, 10**6, 1, 5).withColumnRenamed("id", "page_id"), "page_id")
+    assert sorted(tuple(map(str, r)) for r in url_lists.evaluate(shuffled, changes).select(*columns).collect()) == want
+    named = url_lists.evaluate(stamped.withColumn("listed", F.lit("x")), changes)
+    assert named.columns[-5:] == ["listed_", "list_entry", "list_category", "listed_from", "active_entries"] and named.filter("listed <> 'x'").count() == 0
