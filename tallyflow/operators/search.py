@@ -292,7 +292,7 @@ def evaluate(pop: DataFrame, scored: DataFrame | None, objective: Objective) ->
         scored = spark.createDataFrame([], kind)
     fresh = [list(r["x"]) for r in unscored(pop, scored).collect()]
     if fresh:
-        values = [float(v) for v in objective(fresh)]
+        values = [math.nan if v is None else float(v) for v in objective(fresh)]   # a missing value is the worst, as NaN is
         scored = _settled(scored.unionByName(spark.createDataFrame(list(zip(fresh, values)), kind)))
     return _settled(with_fitness(pop, scored).select(*pop.columns)), scored
 

@@ -52,3 +52,12 @@ def test_nan_fitness_is_never_the_best(spark):
     assert search.search_trace(pop).first()["best_x"] == [2.0]
     lead = search.step_gwo(pop, (search.Dim("uniform", 0, 1),), 0, 5, 1)
     assert lead.count() == 3
+
+
+def test_missing_fitness_is_never_the_best(spark):
+    def partly(points):
+        return [None if i == 0 else v for i, v in enumerate(bowl(points))]
+
+    best, value, history = search.population_search(spark, SPACE, partly, "gwo", 5, 2, seed=1)
+    known = history.filter("NOT isnan(fitness)")
+    assert value == known.agg(F.min("fitness")).first()[0] and history.filter("isnan(fitness)").count() > 0
