@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyflow.llm.frames import free_name, name_of, null_safe_join, stored
+from tallyflow.llm.frames import drop_rows, free_name, name_of, null_safe_join, stored, stored_alone
 
 #: Words with what ends the sentence before them, and numbers.
 TOKEN = r"(?:[.!?\n][ \t\r\n]*)?\p{L}+|[$€£]?[0-9][0-9.,]*%?"
@@ -219,6 +219,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
 def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns only."""
     hidden = [free_name(docs.columns, c) for c in ("id_of_row", "key_of_row")]
-    gone = matches(docs, items, text, doc_id, **options).select(F.col("doc_id").alias(hidden[0]), F.col("text_key").alias(hidden[1])).distinct()
+    gone = stored_alone(docs.sparkSession, lambda: matches(docs, items, text, doc_id, **options).select(
+        F.col("doc_id").alias(hidden[0]), F.col("text_key").alias(hidden[1])).distinct(), "leaks")
     key = F.xxhash64(F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")))
-    return docs.join(gone, F.col(name_of(doc_id)).eqNullSafe(F.col(hidden[0])) & (key == F.col(hidden[1])), "left_anti")
+    return drop_rows(docs, gone, F.col(name_of(doc_id)).eqNullSafe(F.col(hidden[0])) & (key == F.col(hidden[1])))

@@ -2,13 +2,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tallyflow.llm.text import CHUNK_BYTES, chunks
-from tallyflow.sources.storage import durable, work_path
+from tallyflow.sources.storage import delete_work, durable, work_path
+
+#: Rows of a few numbers each (about 40 bytes) up to which a table is broadcast, after counting it.
+BROADCAST_ROWS = 1_000_000
+_SCOPES: list[list[str]] = []
 
 
 def name_of(name: str) -> str:
@@ -64,10 +69,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str,
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared work folder and read it back."""
     path = work_path(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def work_tables(spark: SparkSession):
+    """Tables written by ``stored`` inside are deleted at the end. What is kept must be stored after it, or be read before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_work(spark, path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns and delete the work tables that went into it."""
+    path = work_path(spark, name)
+    with work_tables(spark):
+        made = make()
+        made.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def null_safe_join(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Join on columns of the same names, where null equals null; the columns of ``a`` stay."""
     b = b.select(*[F.col(c).alias(f"right_{c}") if c in names else F.col(c) for c in b.columns])
@@ -79,28 +108,34 @@ def null_safe_join(a: DataFrame, b: DataFrame, names: list[str], how: str = "inn
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of undirected ``edges`` (a, b), both long: component is the smallest node reachable.
-    Alternates large-star and small-star steps, which shorten all paths, until every node but the roots hangs on one
-    root; each round is written before the next, and only counts reach the driver."""
+    Every edge hangs its larger node on the smaller one. A round moves an edge from a node to that node's smallest neighbour
+    below (paths halve), then leaves every node its smallest neighbour and ties the others to that, until every node but the
+    roots hangs on one root. A node with very many others below it on one side never meets them in a join: only nodes that
+    hang on another are looked up, by broadcast while they are at most ``BROADCAST_ROWS``. Each round is written before the
+    next, and only counts reach the driver."""
     at = durable(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    of_node = Window.partitionBy("a")
     for _ in range(rounds):
-        if not _unsettled(at):
+        low = durable(at.groupBy("a").agg(F.min("b").alias("m"), (F.min("b") < F.max("b")).alias("several")))
+        up = _measured(low.select(F.col("a").alias("node"), F.col("m").alias("above")))
+        unsettled = low.filter("several").limit(1).count() or at.join(up, F.col("b") == F.col("node"), "left_semi").limit(1).count()
+        if not unsettled:
             break
-        both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            low.filter("a <> m").select("a", F.col("m").alias("b")))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        at = durable(down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                     .union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        moved = (at.join(up, F.col("b") == F.col("node"), "left").select("a", F.coalesce("above", "b").alias("b"))
+                 .union(low.select("a", "m")).withColumn("m", F.min("b").over(of_node)))
+        at = durable(moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
     roots = at.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return at.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def _unsettled(at: DataFrame) -> int:
-    """Nodes that hang on two others, or hang on one and carry another."""
-    ends = at.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(at.select("b", F.lit(0), F.lit(1)))
-    by = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return by.filter("up > 1 OR up = 1 AND down = 1").limit(1).count()
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (stored, of a few numbers each) to be broadcast in a join if they are at most ``BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, on) -> DataFrame:
+    """The rows of ``docs`` for which no row of ``gone`` meets ``on``. ``gone`` holds a few numbers a row: it is stored, counted,
+    and broadcast below ``BROADCAST_ROWS``, so that texts do not move; beyond that both sides are shuffled."""
+    return docs.join(_measured(stored(gone, "gone")), on, "left_anti")

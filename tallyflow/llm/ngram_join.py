@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
-from tallyflow.llm.frames import add_columns, components, free_name, name_of, stored
+from tallyflow.llm.frames import add_columns, components, drop_rows, free_name, name_of, stored, stored_alone
 from tallyflow.llm.text import chunks, mix, word_hashes, words
 
 BOX, POINT_BOX = 64, 16
@@ -108,7 +108,7 @@ def keys(x: np.ndarray, percent: int) -> np.ndarray:
 
 
 def points(docs: DataFrame, k: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, node, keys) of every document; node is null for an empty set."""
+    """(doc_id, text_key, n_shingles, node, keys) of every document; node is null for an empty set."""
     def make():
         def of(data, offsets, part):
             sets = shingles(data, offsets, k)
@@ -119,8 +119,13 @@ def points(docs: DataFrame, k: int, percent: int, text: str = "text", doc_id: st
         return of
 
     fields = [StructField("n_shingles", LongType()), StructField("node", LongType()), StructField("keys", ArrayType(LongType()))]
-    ids = docs.select(F.col(name_of(doc_id)).alias("doc_id"), F.col(name_of(text)).alias("text"))
-    return add_columns(ids, "text", fields, make, ["doc_id"])
+    return add_columns(_texts(docs, text, doc_id), "text", fields, make, ["doc_id", "text_key"])
+
+
+def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, text, text_key): id and text key tell apart rows without an id."""
+    rows = docs.select(F.col(name_of(doc_id)).alias("doc_id"), F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("text_key", F.xxhash64("text"))
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -282,8 +287,10 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
                     lowest = both.min()
                     for t in np.unique(both[both != lowest]):
                         top[top == t] = lowest
-                hung = np.flatnonzero(top != np.arange(node.size))
-                yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[top[hung]])], names=["a", "b"])
+                least = np.full(node.size, np.iinfo(np.int64).max)
+                np.minimum.at(least, top, node)
+                hung = np.flatnonzero(node != least[top])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(least[top[hung]])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -430,19 +437,21 @@ def _forest(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, nodes: DataFrame, families: DataFrame, name: str, text: str, doc_id: str) -> DataFrame:
-    """(family, node, copies, text) of the first row of every node of ``families``."""
+    """(family, node, copies, text) of the first row of every node of ``families``. Repeated rows give it again."""
     few = stored(families.select("node", F.col("component").alias("family")).join(nodes, "node"), name)
     if few.count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
-    texts = docs.select(F.col(name_of(doc_id)).alias("id_of_row"), F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
-    return texts.join(few, F.col("first_id").eqNullSafe(F.col("id_of_row"))).select("family", "node", "copies", "text")
+    same = (F.col("first_key") == F.col("text_key")) & F.col("first_id").eqNullSafe(F.col("doc_id"))
+    return _texts(docs, text, doc_id).join(few, same).select("family", "node", "copies", "text")
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row: size of its set, smallest id reachable by
     links (100 * intersection >= percent * union), itself included, and the number of rows it is linked with."""
     at = stored(points(docs, k, percent, text, doc_id), "points")
-    nodes = at.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("first")
+    nodes = (at.filter("node IS NOT NULL").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"))
+             .select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), "copies"))
     rows = at.select(F.explode("keys").alias("key"), "node")
     families = components(_neighbours(rows))
     found = _members(docs, nodes, families, "rough", text, doc_id)
@@ -458,17 +467,17 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
              .join(forest.filter("a = b").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node"), "node", "left"))
     of_node = nodes.join(known, "node", "left").select(
         "node", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return (at.drop("keys").join(of_node, "node", "left")
+    return (at.drop("keys", "text_key").join(of_node, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without all but the one of smallest id of every group of similar texts. Of rows
     with the same id one stays; rows without an id all stay."""
-    found = stored(similar(docs, k, percent, text, doc_id), "similar")
+    found = stored_alone(docs.sparkSession, lambda: similar(docs, k, percent, text, doc_id), "similar")
     hidden = free_name(docs.columns, "id_of_row")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(hidden)).distinct()
-    kept = docs.join(gone, F.col(name_of(doc_id)) == F.col(hidden), "left_anti")
+    kept = drop_rows(docs, gone, F.col(name_of(doc_id)) == F.col(hidden))
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not again:
         return kept
