@@ -1,15 +1,16 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words (runs of letters, lower-cased) and their beginnings of 4 to 7 bytes. The vocabulary holds the terms
-that differ most between toxic and other labelled texts; their document frequencies come from all documents. One more
-dimension of fixed weight stands for the rest of a text, so that a text with more of the terms points elsewhere. Labelled examples are sparse vectors of unit length. Equal vectors are one entry with its counts of
+Terms are words (runs of letters, lower-cased): all words of the labelled sample, however rare, and beginnings of 4 to 7 bytes that
+clearly differ between the labels. Document frequencies come from all documents. A term weighs (1 + log count) * idf * (floor + evidence), where
+evidence (0 to 1) is how surely its share among toxic examples differs from that among others; words that no example has carry no weight.
+Labelled examples are sparse vectors of unit length, so a copy of one has cosine 1 with it. Equal vectors are one entry with its counts of
 labels, so ties at the k-th neighbour count whole. Entries are laid out by their heaviest term and cut into blocks; the
-inverted index keeps for every term its postings and the largest weight per block. A query bounds every block by these
+inverted index keeps for every term its postings and, for the blocks it occurs in, the largest weight. A query bounds every block by these
 maxima, opens blocks in falling order of bound and stops when the next bound is below the k-th cosine: the result is exact.
-Votes weigh 1 / (distance + 0.05) and are drawn to the share of toxic labels among examples without a term. A logistic curve, fitted
-with each example's own vote left out, turns votes into probabilities.
+Votes weigh 1 / (distance + 0.05) and are drawn to the share of toxic labels. A logistic curve, fitted
+on the whole sample with each example's own vote left out, turns votes into probabilities.
 
-Defined cases: null and empty texts, and texts without a term, have no neighbour and get the score of examples without terms; without
+Defined cases: null and empty texts, and texts without a word of any example, have no neighbour and get the score of the share of toxic labels; without
 labels or with one kind only, every score is the smoothed share of label 1; repeated rows are scored each; extra columns are ignored.
 """
 from __future__ import annotations
@@ -18,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tallyflow.llm.frames import add_columns, labelled_sample, name_of
+from tallyflow.llm.frames import add_columns, labelled_sample, name_of, stored
 from tallyflow.llm.quality import _curve, _logit
 from tallyflow.llm.text import chunks, spans, word_hashes
 
@@ -29,6 +31,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIXES = (4, 5, 6, 7)
 BLOCK = 64
+_FILTER = 1 << 20
+_MARK = np.uint64(_FILTER - 1)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,19 +47,26 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and the range of each."""
+    size = high - low
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if size.size else 0) + np.repeat(low - (ends - size), size), np.repeat(np.arange(size.size), size)
+
+
 @dataclass
 class Vocabulary:
-    """Chosen terms, sorted by hash, with a filter on 16 bits in front of the search."""
+    """Terms sorted by hash, with a filter on 20 bits in front of the search."""
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def __post_init__(self):
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.seen = np.zeros(_FILTER, bool)
+        self.seen[(self.hashes & _MARK).astype(np.int64)] = True
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term number and count of every chosen term of every row."""
+        """Row, term number and count of every term of every row, in order of row and term."""
         h, row = terms(data, offsets)
-        some = self.seen[(h & np.uint64(0xFFFF)).astype(np.int64)]
+        some = self.seen[(h & _MARK).astype(np.int64)]
         h, row = h[some], row[some]
         if not self.hashes.size or not h.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -67,16 +78,11 @@ class Vocabulary:
 
 @dataclass
 class Examples:
-    """Inverted index of distinct example vectors with block maxima, their votes and the calibration."""
+    """Inverted index of distinct example vectors with sparse block maxima, their votes and the calibration."""
     vocabulary: Vocabulary
-    idf: np.ndarray
+    weight: np.ndarray
     prior: float = 0.5
     k: int = 15
-    rest: float = 0.0
-    posting_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    posting_entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    posting_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     total: np.ndarray = field(default_factory=lambda: np.zeros(0))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -84,48 +90,52 @@ class Examples:
     shift: float = 0.0
 
     def vector(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of the unit vector; the last term stands for the rest of the text."""
-        w = np.append((1 + np.log(n)) * self.idf[term], self.rest)
-        return np.append(term, self.idf.size), w / np.sqrt((w * w).sum())
+        """Terms and weights of the unit vector."""
+        w = (1 + np.log(n)) * self.weight[term]
+        return term, w / np.sqrt((w * w).sum())
 
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, toxic: np.ndarray, example: np.ndarray) -> None:
-        """Index entries given as (terms, weights)."""
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, toxic: np.ndarray, example: np.ndarray) -> np.ndarray:
+        """Index entries given as (terms, weights); returns the place of each."""
         heavy = np.array([t[np.argmax(w)] for t, w in vectors], np.int64)
         order = np.lexsort(([-w.max() for _, w in vectors], heavy))
         vectors, self.total, self.toxic, self.example = [vectors[i] for i in order], total[order], toxic[order], example[order]
-        v, m = self.vocabulary.hashes.size + 1, len(vectors)
         term = np.concatenate([t for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors])
-        entry = np.repeat(np.arange(m), [t.size for t, _ in vectors])
+        entry = np.repeat(np.arange(len(vectors)), [t.size for t, _ in vectors])
         by = np.lexsort((entry, term))
-        self.posting_entry, self.posting_weight = entry[by], weight[by]
-        self.posting_at = np.searchsorted(term[by], np.arange(v + 1))
-        self.block_max = np.zeros((v, -(-m // BLOCK)))
-        np.maximum.at(self.block_max, (term, entry // BLOCK), weight)
+        term, entry, weight = term[by], entry[by], weight[by]
+        new = np.append(True, (term[1:] != term[:-1]) | (entry[1:] // BLOCK != entry[:-1] // BLOCK))
+        self.piece_from = np.append(np.flatnonzero(new), term.size)  # postings of a term in a block
+        self.piece_at = np.searchsorted(term[new], np.arange(self.vocabulary.hashes.size + 1))  # pieces of a term
+        self.piece_block = (entry[new] // BLOCK).astype(np.int32)
+        self.piece_max = np.maximum.reduceat(weight, self.piece_from[:-1])
+        self.posting_entry, self.posting_weight = entry.astype(np.int32), weight
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        return place
 
     def neighbours(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Entries among the k nearest examples (ties whole) and their cosines; ``without`` has one example less."""
-        blocks = self.block_max.shape[1]
-        bound = weight @ self.block_max[term]
+        blocks = -(-self.total.size // BLOCK)
+        piece, of = _ranges(self.piece_at[term], self.piece_at[term + 1])
+        block, q = self.piece_block[piece], weight[of]
+        bound = np.bincount(block, q * self.piece_max[piece], blocks)
         order = np.argsort(-bound, kind="stable")
-        sums = np.zeros(blocks * BLOCK)
         left = np.append(self.total, np.zeros(blocks * BLOCK - self.total.size))
         if without >= 0:
             left[without] -= 1
-        lists = [(self.posting_entry[self.posting_at[t]:self.posting_at[t + 1]], self.posting_weight[self.posting_at[t]:self.posting_at[t + 1]]) for t in term]
-        entries, cosines, least, opened = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        step = 1
+        entries, cosines, least, opened, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 1
         while opened < blocks and bound[order[opened]] > 0 and bound[order[opened]] >= least - 1e-12:
             now = order[opened:opened + step]
-            now = now[bound[now] >= max(least - 1e-12, 1e-12)]
+            now = now[bound[now] >= max(least - 1e-12, 1e-300)]
             opened += step
             step *= 2
-            for b in now:
-                for (e, w), q in zip(lists, weight):
-                    i, j = np.searchsorted(e, (b * BLOCK, (b + 1) * BLOCK))
-                    sums[e[i:j]] += q * w[i:j]
-            found = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = found[(sums[found] > 0) & (left[found] > 0)]
+            open_ = np.zeros(blocks, bool)
+            open_[now] = True
+            some = np.flatnonzero(open_[block])
+            posting, at = _ranges(self.piece_from[piece[some]], self.piece_from[piece[some] + 1])
+            sums = np.bincount(self.posting_entry[posting], q[some][at] * self.posting_weight[posting], blocks * BLOCK)
+            found = np.flatnonzero((sums > 0) & (left > 0))
             entries, cosines = np.concatenate([entries, found]), np.concatenate([cosines, sums[found]])
             rank = np.argsort(-cosines, kind="stable")
             entries, cosines = entries[rank], cosines[rank]
@@ -136,16 +146,15 @@ class Examples:
                 entries, cosines = entries[stay], cosines[stay]
         return entries, cosines
 
-    def votes(self, term: np.ndarray, n: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic votes, and the entries and cosines behind it."""
+    def votes(self, term: np.ndarray, n: np.ndarray, without: int = -1, own: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of toxic votes, and the entries and cosines behind it. One example of label ``own`` of the entry ``without`` has no vote."""
         if not term.size or not self.total.size:
             return self.prior, np.zeros(0, np.int64), np.zeros(0)
         entries, cosines = self.neighbours(*self.vector(term, n), without)
         total, toxic = self.total[entries].copy(), self.toxic[entries].copy()
-        if without >= 0:
-            at = entries == without
-            total[at] -= 1
-            toxic[at] -= self.own
+        at = entries == without
+        total[at] -= 1
+        toxic[at] -= own
         w = 1 / (1 - np.minimum(cosines, 1) + 0.05)
         return float(((w * toxic).sum() + self.prior) / ((w * total).sum() + 1)), entries, cosines
 
@@ -154,42 +163,47 @@ class Examples:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 12_000,
-        vocabulary: int = 1024, k: int = 15) -> Examples:
-    """Index about ``most`` labelled documents for which ``learn`` holds. The vocabulary has at most ``vocabulary`` terms."""
+        k: int = 15, floor: float = 0.1, half: float = 6.0) -> Examples:
+    """Index about ``most`` labelled documents for which ``learn`` holds. A term without evidence weighs ``floor`` of its IDF; one
+    whose log-likelihood ratio between the labels is ``half`` a quarter of it. The driver gets the counts of their words, not their texts."""
     spark = docs.sparkSession
     rows = labelled_sample(docs, labels, label, doc_id, text, learn, most).select(F.col(name_of(doc_id)).cast("long").alias("id"), "text", "label")
+    rows = stored(rows.repartition(32, "id"), "examples")  # 32 tasks for a sample of bounded size
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
-    share = (n1 + 0.5) / (n1 + n0 + 1)
-    empty = Examples(Vocabulary(), np.zeros(0), share, k)
+    empty = Examples(Vocabulary(), np.zeros(0), (n1 + 0.5) / (n1 + n0 + 1), k)
     if not n1 or not n0:
         return empty
 
     def count(batches):
         for part, data, offsets in chunks(batches, "text"):
-            h, row = terms(data, offsets)
-            y = part.column("label").to_numpy()
+            h, row, n_words = *terms(data, offsets), spans(_LETTER[data], offsets)[0].size
+            y, begins = part.column("label").to_numpy(), np.arange(h.size) >= n_words
             order = np.lexsort((row, h))
-            h, row = h[order], row[order]
+            h, row, begins = h[order], row[order], begins[order]
             new = np.ones(h.size, bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, y = h[new], y[row[new]]
+            h, y, begins = h[new], y[row[new]], begins[new]
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if h.size else np.zeros(0, np.int64)
             toxic = np.add.reduceat(y, starts) if h.size else starts
-            yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(toxic.astype(np.int64)),
-                                              pa.array(np.diff(np.append(starts, h.size)) - toxic)], names=["h", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(begins[starts]), pa.array(toxic.astype(np.int64)),
+                                              pa.array(np.diff(np.append(starts, h.size)) - toxic)], names=["h", "begins", "toxic", "clean"])
 
-    seen = (rows.select("text", "label").mapInArrow(count, "h long, toxic long, clean long").groupBy("h")
-            .agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") + F.col("b") >= 4))
+    seen = (rows.select("text", "label").mapInArrow(count, "h long, begins boolean, toxic long, clean long").groupBy("h")
+            .agg(F.min("begins").alias("begins"), F.sum("toxic").alias("a"), F.sum("clean").alias("b")))
     pa_, pb = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     p = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     gain = F.abs(F.col("a") * F.log(pa_ / p) + F.col("b") * F.log(pb / p))
-    chosen = (seen.select("h", gain.alias("gain"), F.greatest(pa_ / pb, pb / pa_).alias("lift")).filter("lift >= 4 AND gain >= 6")
-              .orderBy(F.desc("gain"), "h").limit(vocabulary).toArrow()["h"].to_numpy().view(np.uint64))
-    if not chosen.size:
+    known = (seen.select("h", "begins", (F.col("a") + F.col("b")).alias("n"), gain.alias("gain"), F.greatest(pa_ / pb, pb / pa_).alias("lift"))
+             .filter("NOT begins OR n >= 4 AND lift >= 4 AND gain >= 6").select("h", F.when(F.col("lift") >= 2, F.col("gain")).otherwise(0.0).alias("gain")).toArrow())
+    if not known.num_rows:
         return empty
-    words = Vocabulary(np.sort(chosen))
+    hashes = known["h"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    words, evidence = Vocabulary(hashes[order]), known["gain"].to_numpy()[order]
+    evidence = (evidence / (evidence + half)) ** 2
     sent = spark.sparkContext.broadcast(words)
+    words_n = int(hashes.size)
 
     def frequency(batches):
         df, n = np.zeros(words_n, np.int64), 0
@@ -197,53 +211,54 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
             _, term, _ = sent.value.counts(data, offsets)
             df += np.bincount(term, minlength=words_n)
             n += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(words_n), -1)), pa.array(np.append(df, n))], names=["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["term", "n"])
 
-    words_n = int(chosen.size)
     texts = docs.select(F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
-    df = texts.mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    table = dict(zip(df["term"].to_pylist(), df["n"].to_pylist()))
-    idf = np.array([np.log((table[-1] + 1) / (table[i] + 1)) + 1e-3 for i in range(words_n)])
+    got = texts.mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(words_n + 1, np.int64)
+    df[got["term"].to_numpy()] = got["n"].to_numpy()  # the last is the number of documents
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3
+    model = Examples(words, idf * (floor + evidence), empty.prior, k)
 
     def vectors(batches):
         for part, data, offsets in chunks(batches, "text"):
             row, term, n = sent.value.counts(data, offsets)
             at = np.searchsorted(row, np.arange(offsets.size)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.ListArray.from_arrays(pa.array(at), pa.array(term)),
-                                              pa.ListArray.from_arrays(pa.array(at), pa.array(n))], names=["id", "label", "term", "n"])
-
-    got = rows.mapInArrow(vectors, "id long, label int, term array<long>, n array<long>").toArrow().to_pylist()
-    got.sort(key=lambda r: r["id"])
-    bare = [r["label"] for r in got if not r["term"]]
-    model = Examples(words, idf, (sum(bare) + 0.5 * share) / (len(bare) + 0.5), k)
-    norms = [float(np.sqrt((((1 + np.log(r["n"])) * idf[r["term"]]) ** 2).sum())) for r in got if r["term"]]
-    model.rest = float(np.median(norms)) if norms else 0.0
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32))),
+                                              pa.ListArray.from_arrays(pa.array(at), pa.array(n.astype(np.int32)))], names=["id", "label", "term", "n"])
+
+    listed = rows.mapInArrow(vectors, "id long, label int, term array<int>, n array<int>").toArrow().combine_chunks().sort_by("id")
+    size = pc.list_value_length(listed["term"]).to_numpy()
+    ends = np.cumsum(size)
+    term, n = (pc.list_flatten(listed[c]).to_numpy().astype(np.int64) for c in ("term", "n"))
     entry: dict[tuple, int] = {}
-    kept, total, toxic, first = [], [], [], []
-    for r in got:
-        if r["term"]:
-            key = (tuple(r["term"]), tuple(r["n"]))
-            if key not in entry:
-                entry[key] = len(kept)
-                kept.append(model.vector(np.array(r["term"]), np.array(r["n"])))
-                total.append(0.0), toxic.append(0.0), first.append(r["id"])
-            total[entry[key]] += 1
-            toxic[entry[key]] += r["label"]
-    if not kept:
+    entry_of = np.full(size.size, -1)
+    for i in np.flatnonzero(size):
+        at = slice(ends[i] - size[i], ends[i])
+        entry_of[i] = entry.setdefault((term[at].tobytes(), n[at].tobytes()), len(entry))
+    if not entry:
         return model
-    model.build(kept, np.array(total), np.array(toxic), np.array(first))
-    place = {e: i for i, e in enumerate(model.example.tolist())}
-    own = {key: place[first[i]] for key, i in entry.items()}
-    shares, y = [], []
-    tuned = [r for r in got if r["term"]][:3000] + [r for r in got if not r["term"]][:3000]
-    for r in tuned:
-        if r["term"]:
-            model.own = r["label"]
-            s, _, _ = model.votes(np.array(r["term"]), np.array(r["n"]), own[(tuple(r["term"]), tuple(r["n"]))])
-        else:
-            s = model.prior
-        shares.append(s), y.append(float(r["label"]))
-    model.slope, model.shift = _curve(_logit(np.array(shares)), np.array(y))
+    first = np.flatnonzero(entry_of >= 0)[np.unique(entry_of[entry_of >= 0], return_index=True)[1]]
+    ids, y = listed["id"].to_numpy(), listed["label"].to_numpy().astype(float)
+    some = entry_of >= 0
+    total, toxic = np.bincount(entry_of[some]).astype(float), np.bincount(entry_of[some], y[some])
+    place = model.build([model.vector(term[ends[i] - size[i]:ends[i]], n[ends[i] - size[i]:ends[i]]) for i in first], total, toxic, ids[first])
+    own = np.where(entry_of >= 0, place[entry_of], -1)
+    with_own = spark.sparkContext.broadcast((model, ids, own))
+
+    def left_out(batches):
+        m, known_ids, places = with_own.value
+        for part, data, offsets in chunks(batches, "text"):
+            row, term, n = m.vocabulary.counts(data, offsets)
+            at = np.searchsorted(row, np.arange(offsets.size))
+            label = part.column("label").to_numpy()
+            mine = places[np.searchsorted(known_ids, part.column("id").to_numpy())]
+            share = [m.votes(term[at[i]:at[i + 1]], n[at[i]:at[i + 1]], int(mine[i]), int(label[i]))[0] for i in range(label.size)]
+            yield pa.RecordBatch.from_arrays([pa.array(share, pa.float64()), part.column("label")], names=["share", "label"])
+
+    tuned = rows.mapInArrow(left_out, "share double, label int").orderBy("share", "label").toArrow()
+    model.slope, model.shift = _curve(_logit(tuned["share"].to_numpy()), tuned["label"].to_numpy().astype(float))
     return model
 
 

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -214,6 +215,23 @@ def test_join_of_odd_rows(spark, odd, none):
     assert ngram_join.similar(none).count() == 0 and ngram_join.keep_one(none).count() == 0
 
 
+def test_rows_without_ids_meet_their_own_text_only(spark):
+    rows = [(i if i % 2 else None, " ".join(f"w{(i // 3) * 7 + j}" for j in range(12)) + f" end{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = ngram_join.points(docs, 4, 50).where("node IS NOT NULL").select("node", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.lit(1).alias("copies"))
+    families = at.select("node", F.lit(0).alias("component"))
+    assert ngram_join._members(docs, at, families, "members", "text", "doc_id").count() == len(rows)
+
+
+def test_work_tables_are_deleted(spark):
+    folder = Path(work_path(spark, "x").removeprefix("file:")).parent
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(20)], "doc_id long, text string")
+    before = {p.name for p in folder.iterdir()}
+    assert ngram_join.keep_one(docs).count() == 10
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert not left & {"points", "neighbours", "leaves", "points-leaves", "forest", "survivors"}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100)] + [(200, 300 + i) for i in range(50)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)]
@@ -289,10 +307,60 @@ def test_toxicity(spark, labels, odd, none):
     assert len(rows) == odd.count() and len({r["score"] for r in rows}) == 1
 
 
+def test_cosines_are_those_of_whole_texts(spark):
+    """Nearest examples against plain TF-IDF over dictionaries, beginnings and evidence included."""
+    rng = random.Random(11)
+    plain = [a + b + c for a in ("ba", "ko", "ti") for b in ("lu", "mar", "sen") for c in ("", "do", "nag")]
+    texts = []
+    for i in range(90):
+        words = [rng.choice(plain) for _ in range(rng.randrange(3, 30))] + ["only%s" % chr(97 + i % 26)]
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), "venom" + rng.choice(("ous", "ed", "")))
+        texts.append(" ".join(words).capitalize())
+    texts += [texts[0], texts[7], "", None, "unseen words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, every())
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+
+    def counts(text):
+        words = re.findall("[a-z]+", (text or "").lower())
+        return Counter(words), Counter((w[:n], n) for w in words for n in (4, 5, 6, 7) if len(w) >= n)
+
+    both = [counts(t) for t in texts]
+    a, b = Counter(), Counter()
+    for i in range(60):
+        (a if i % 3 == 0 else b).update({*both[i][0], *both[i][1]})
+    weight = {}
+    for t in {*a, *b}:
+        pa, pb, p = (a[t] + 0.5) / 21, (b[t] + 0.5) / 41, (a[t] + b[t] + 1) / 62
+        gain, lift = abs(a[t] * np.log(pa / p) + b[t] * np.log(pb / p)), max(pa / pb, pb / pa)
+        if isinstance(t, tuple) and not (a[t] + b[t] >= 4 and lift >= 4 and gain >= 6):
+            continue
+        gain = gain if lift >= 2 else 0
+        df = sum(t in w or t in start for w, start in both)
+        weight[t] = (np.log((len(texts) + 1) / (df + 1)) + 1e-3) * (0.1 + (gain / (gain + 6)) ** 2)
+    assert any(isinstance(t, tuple) for t in weight) and any("only" in t for t in weight)
+
+    def vector(i):
+        v = {t: (1 + np.log(n)) * weight[t] for c in both[i] for t, n in c.items() if t in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(i) for i in range(len(texts))]
+    for i, text in enumerate(texts):
+        best = sorted((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()) for j in range(60)), reverse=True)
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [c for c in best[:3] if c > 0])
+        assert not vectors[i] or got[i]["evidence"][0]["examples"] >= 1
+    assert {got[i]["evidence"][0]["example"] for i in (0, 90)} == {0} and np.isclose(got[91]["evidence"][0]["cosine"], 1)
+    assert len({got[i]["score"] for i in (92, 93, 94)}) == 1 and not got[94]["evidence"]
+    assert min(got[i]["score"] for i in range(0, 90, 3)) > max(got[i]["score"] for i in range(90) if i % 3)
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(3)
     v, m = 40, 700
-    model = toxicity.Examples(toxicity.Vocabulary(np.arange(v, dtype=np.uint64)), rng.random(v) + 0.2, k=15, rest=1.0)
+    model = toxicity.Examples(toxicity.Vocabulary(np.arange(v, dtype=np.uint64)), rng.random(v) + 0.2, k=15)
     vectors = [model.vector(t := np.sort(rng.permutation(v)[:rng.integers(1, 6)]), rng.integers(1, 4, t.size)) for _ in range(m)]
     total, toxic = rng.integers(1, 4, m).astype(float), np.zeros(m)
     model.build(vectors, total, toxic, np.arange(m))
