@@ -162,7 +162,7 @@ class Examples:
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(share) + self.shift, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 12_000,
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 4_000,
         k: int = 15, floor: float = 0.1, half: float = 6.0) -> Examples:
     """Index about ``most`` labelled documents for which ``learn`` holds. A term without evidence weighs ``floor`` of its IDF; one
     whose log-likelihood ratio between the labels is ``half`` a quarter of it. The driver gets the counts of their words, not their texts."""
@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
             share = [m.votes(term[at[i]:at[i + 1]], n[at[i]:at[i + 1]], int(mine[i]), int(label[i]))[0] for i in range(label.size)]
             yield pa.RecordBatch.from_arrays([pa.array(share, pa.float64()), part.column("label")], names=["share", "label"])
 
-    tuned = rows.mapInArrow(left_out, "share double, label int").orderBy("share", "label").toArrow()
+    tuned = rows.mapInArrow(left_out, "share double, label int").toArrow().sort_by([("share", "ascending"), ("label", "ascending")])
+    sent.destroy(), with_own.destroy()
     model.slope, model.shift = _curve(_logit(tuned["share"].to_numpy()), tuned["label"].to_numpy().astype(float))
     return model
 
