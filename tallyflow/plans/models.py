@@ -205,7 +205,7 @@ _classifier("clf_mlp_wide", lambda tr: clf.fit_perceptron(tr, [64, 200, 100, 50,
 
 # ---- linear classifiers in shared passes ------------------------------------------------------
 
-_CORNERS = _ORD + """,
+CORNERS = _ORD + """,
  c AS (SELECT row_id, is_test, CASE WHEN x2 > 0.75::DOUBLE THEN 2 WHEN x1 > 0.75::DOUBLE THEN 1 ELSE 0 END AS y FROM r
   WHERE x2 > 0.75::DOUBLE OR x2 < 0.25::DOUBLE AND (x1 < 0.25::DOUBLE OR x1 > 0.75::DOUBLE))"""
 
@@ -217,13 +217,13 @@ def corners(spark, sf):
     return df.withColumn("y", F.when(cust > 0.75, 2.0).when(price > 0.75, 1.0).otherwise(0.0))
 
 
-@query("clf_linear_corners", _CORNERS + " SELECT row_id, y::BIGINT AS y, y::BIGINT AS prediction FROM c WHERE is_test")
+@query("clf_linear_corners", CORNERS + " SELECT row_id, y::BIGINT AS y, y::BIGINT AS prediction FROM c WHERE is_test")
 def _(spark, sf):
     train, test = halves(corners(spark, sf))
     return scored(clf.fit_linear_svm(train, "vec"), test)
 
 
-@query("forest_corners", _CORNERS + " SELECT row_id, y::BIGINT AS y, y::BIGINT AS prediction FROM c WHERE is_test")
+@query("forest_corners", CORNERS + " SELECT row_id, y::BIGINT AS y, y::BIGINT AS prediction FROM c WHERE is_test")
 def _(spark, sf):
     train, test = halves(corners(spark, sf))
     return scored(_forest(trees.RANDOM_FOREST)(train), test)
@@ -250,7 +250,7 @@ def _(spark, sf):
     return scored(_forest(trees.EXTRA_TREES, classes=2)(df), df)
 
 
-@query("svm_grid_corners", _CORNERS + """, g AS (SELECT * FROM (VALUES ('l2', 1.0::DOUBLE), ('l2', 0.1::DOUBLE), ('l1', 1.0::DOUBLE), ('l1', 0.1::DOUBLE)) t(penalty, C))
+@query("svm_grid_corners", CORNERS + """, g AS (SELECT * FROM (VALUES ('l2', 1.0::DOUBLE), ('l2', 0.1::DOUBLE), ('l1', 1.0::DOUBLE), ('l1', 0.1::DOUBLE)) t(penalty, C))
  SELECT 'squared_hinge' AS loss, penalty, C, avg(1.0::DOUBLE) AS accuracy, penalty = 'l2' AND C = 1 AS is_best FROM g, c GROUP BY ALL""")
 def _(spark, sf):
     df = sampling.contiguous_folds(corners(spark, sf).select("row_id", "vec", "y"), ["row_id"], 5)

@@ -6,8 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from tallyflow.operators import classifiers as clf
-from tallyflow.operators import prepare, reservoir, sampling, semi, series
-from tallyflow.plans.models import halves, order_rows, scored, vectors
+from tallyflow.operators import neighbours, prepare, reservoir, sampling, semi, series, trees
+from tallyflow.plans.models import CORNERS, corners, halves, order_rows, scored, vectors
 from tallyflow.plans.registry import hash60_sql, md5_sql, query, r6, table
 from tallyflow.sources import work_path
 from tallyflow.streaming import continue_stream
@@ -188,17 +188,37 @@ def _(spark, sf):
     return scored(model, test)
 
 
+_RATES = [i / 9 for i in range(10)]
+
+
+def sweep(df, specs: dict):
+    """Ten rates by the given models over ten folds of the labelled half of ``df``; the rest is the pool."""
+    known, pool = semi.unlabel(df.select("row_id", "vec", "y"), "row_id", 0.5, 21)
+    known = sampling.contiguous_folds(known, ["row_id"], 10)
+    return semi.pseudo_label_grid(known, pool.drop("y"), specs, _RATES, "fold", 10, "vec", "y", "row_id", 3)
+
+
+def models(n: int) -> dict:
+    return {"forest": trees.Spec(trees=n), "knn": neighbours.Knn(), "extra": trees.Spec(trees=n, rule="drawn", bootstrap=False)}
+
+
 @query("pseudo_label_sweep")
 def _(spark, sf):
-    known, pool, _ = labelled_and_pool(spark, sf)
-    df = sampling.contiguous_folds(known.select("row_id", "features", "y"), ["row_id"], 3)
-    bases = {"tree": clf.decision_tree(maxDepth=4), "extra": clf.extra_trees(numTrees=5, maxDepth=4)}
-    return semi.pseudo_label_sweep(df, pool, bases, [0.0, 0.5, 1.0], "fold", "row_id")
+    return sweep(order_rows(spark, sf), models(5))
+
+
+@query("pseudo_label_sweep_corners", CORNERS + f""", k AS (SELECT ntile(10) OVER (ORDER BY row_id) - 1 AS fold FROM c WHERE substr({md5_sql(21, 'row_id')}, 1, 8) >= '80000000'),
+ n AS (SELECT fold::INT AS fold, count(*) AS n_rows FROM k GROUP BY fold),
+ m AS (SELECT unnest(['forest', 'knn', 'extra']) AS model), s AS (SELECT unnest(range(10)) / 9::DOUBLE AS rate)
+ SELECT model, rate, fold, 1.0::DOUBLE AS accuracy, n_rows FROM n, m, s""")
+def _(spark, sf):
+    """Regions that every model learns without error, pseudo-labels included, at all rates and folds."""
+    return sweep(corners(spark, sf), models(20))
 
 
 @query("self_training")
 def _(spark, sf):
-    known, pool, _ = labelled_and_pool(spark, sf)
-    _, rows, rest = semi.self_train(known, pool, clf.decision_tree(maxDepth=6), "row_id", threshold=0.45, max_rounds=3)
+    known, pool = semi.unlabel(order_rows(spark, sf).select("row_id", "features", "y"), "row_id", 0.5, 21)
+    _, rows, rest = semi.self_train(known, pool.drop("y"), clf.decision_tree(maxDepth=6), "row_id", threshold=0.45, max_rounds=3)
     left = rest.select("row_id", F.lit(None).cast("double").alias("y"), F.lit(-1).alias("round"))
     return rows.select("row_id", "y", "round").unionByName(left)
