@@ -121,21 +121,24 @@ class Examples:
         block, q = self.piece_block[piece], weight[of]
         bound = np.bincount(block, q * self.piece_max[piece], blocks)
         order = np.argsort(-bound, kind="stable")
+        turn = np.empty(blocks, np.int64)
+        turn[order] = np.arange(blocks)
+        turn = turn[block]
+        by = np.argsort(turn, kind="stable")  # pieces in the order their blocks are opened
+        piece, q, until = piece[by], q[by], np.concatenate([[0], np.cumsum(np.bincount(turn, minlength=blocks))])
         left = np.append(self.total, np.zeros(blocks * BLOCK - self.total.size))
         if without >= 0:
             left[without] -= 1
-        entries, cosines, least, opened, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 1
+        entries, cosines, least, opened, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
         while opened < blocks and bound[order[opened]] > 0 and bound[order[opened]] >= least - 1e-12:
-            now = order[opened:opened + step]
-            now = now[bound[now] >= max(least - 1e-12, 1e-300)]
+            high = bound[order[opened:opened + step]]
+            stop = opened + int(np.count_nonzero(high >= max(least - 1e-12, 1e-300)))
+            some = slice(until[opened], until[stop])
             opened += step
             step *= 2
-            open_ = np.zeros(blocks, bool)
-            open_[now] = True
-            some = np.flatnonzero(open_[block])
             posting, at = _ranges(self.piece_from[piece[some]], self.piece_from[piece[some] + 1])
             sums = np.bincount(self.posting_entry[posting], q[some][at] * self.posting_weight[posting], blocks * BLOCK)
-            found = np.flatnonzero((sums > 0) & (left > 0))
+            found = np.flatnonzero((sums >= max(least - 1e-12, 1e-300)) & (left > 0))
             entries, cosines = np.concatenate([entries, found]), np.concatenate([cosines, sums[found]])
             rank = np.argsort(-cosines, kind="stable")
             entries, cosines = entries[rank], cosines[rank]
@@ -277,8 +280,14 @@ def score(docs: DataFrame, model: Examples, text: str = "text", keep: list[str]
             row, term, n = m.vocabulary.counts(data, offsets)
             at = np.searchsorted(row, np.arange(offsets.size))
             share, evidence = np.full(offsets.size - 1, m.prior), [[]] * (offsets.size - 1)
+            first = {}
             for i in np.flatnonzero(np.diff(at)):
-                share[i], entries, cosines = m.votes(term[at[i]:at[i + 1]], n[at[i]:at[i + 1]])
+                mine = slice(at[i], at[i + 1])
+                same = first.setdefault((term[mine].tobytes(), n[mine].tobytes()), i)
+                if same != i:  # equal vectors in a chunk are searched once
+                    share[i], evidence[i] = share[same], evidence[same]
+                    continue
+                share[i], entries, cosines = m.votes(term[mine], n[mine])
                 evidence[i] = [{"example": int(m.example[e]), "cosine": float(c), "examples": int(m.total[e]), "toxic": int(m.toxic[e])}
                                for e, c in zip(entries[:3], cosines[:3])]
             return [pa.array(m.probability(share)), pa.array(share), pa.array(evidence, arrow)]
