@@ -44,6 +44,25 @@ def test_rounds_rule_out_most_pieces(spark):
     assert len(trace) > 1 and sum(trace) < 0.35 * len(q) * pieces
 
 
+def test_vectors_move_once_per_group_of_pieces(spark, monkeypatch):
+    """Pairs of blocks and pieces reach the comparisons as numbers, a block's vectors once per group it meets."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))                          # no structure: every block meets every piece
+    met = []
+    compared = neighbours._compared
+
+    def counted(visits, blocks, pieces, k):
+        met.append(visits.agg(F.count(F.lit(1)), F.sum(F.size("pieces")), F.countDistinct("block"), F.countDistinct("pile")).first())
+        return compared(visits, blocks, pieces, k)
+
+    monkeypatch.setattr(neighbours, "_compared", counted)
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 1 << 14)
+    got = neighbours.knn_join(frame(spark, x), frame(spark, x), "v", "id", "id", 3, 0, 10).collect()
+    assert {(r["query_id"], r["train_id"]) for r in got} == set(brute(x, x, 3))
+    rows, pairs, blocks, groups = met[-1]
+    assert rows <= blocks * groups and pairs > 3 * rows
+
+
 def test_fewer_train_rows_than_neighbours(spark):
     x = np.random.default_rng(0).normal(size=(3, 2))
     for limit in (1 << 26, 0):
