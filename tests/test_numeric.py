@@ -63,6 +63,23 @@ def test_vectors_move_once_per_group_of_pieces(spark, monkeypatch):
     assert rows <= blocks * groups and pairs > 3 * rows
 
 
+def test_buckets_shared_by_all_write_no_row_per_pair(spark):
+    """Rows of one bucket: both paths give the exact neighbours within the radius, repeated rows once."""
+    rng = np.random.default_rng(6)
+    t, q = 50 + rng.normal(size=(300, 6)) * 0.3, 50 + rng.normal(size=(40, 6)) * 0.3
+    t[7] = t[8]
+    train = frame(spark, t, rng.integers(0, 3, 300))
+    train = train.unionByName(train.filter("id < 50"))
+    test = frame(spark, q)
+    want = {p for p, d in brute(q, t, 5).items() if d < 0.6}
+    assert 0 < len(want) < 200
+    for limit in (1 << 26, 0):
+        pairs = neighbours._lsh_pairs(train, test, "v", "y", "id", 5, 0.6, bucket=1000.0, broadcast_bytes=limit)
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = pairs.collect()
+        assert len(got) == len(want) and {(r["query_id"], r["train_id"]) for r in got} == want
+
+
 def test_fewer_train_rows_than_neighbours(spark):
     x = np.random.default_rng(0).normal(size=(3, 2))
     for limit in (1 << 26, 0):
