@@ -415,6 +415,23 @@ def test_language_model(spark, documents, odd, none):
     assert {(r["score"], r["base_score"], r["train_tokens"]) for r in hmm.score(odd, model, counts).collect()} == {(0.0, 0.0, 0)}
 
 
+def test_language_model_starts_from_every_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red green w{i % 9} blue" if i % 2 else f"one two n{i % 7}") for i in range(60)], "doc_id long, text string")
+    sizes, sums = [], hmm._sums
+
+    def counted(encoded, *rest):
+        sizes.append(encoded.count())
+        return sums(encoded, *rest)
+
+    monkeypatch.setattr(hmm, "_sums", counted)
+    model, _ = hmm.fit(docs, every(), states=2, least=15, rounds=4, passes=1)
+    assert max(sizes[1:5]) < 60 and sum(sizes[1:5]) == 60 and sizes[5:] == [60]    # the rounds' shares, then a pass
+    assert np.allclose(model.hmm.emit.sum(axis=0), 1) and np.allclose(model.hmm.move.sum(axis=1), 1)
+    sizes.clear()
+    hmm.fit(docs, every(), states=2, rounds=2, passes=1)
+    assert sizes == [60] * 4
+
+
 def test_simhash(spark, documents, odd, none):
     rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in simhash.edited_pairs(documents).collect()}
