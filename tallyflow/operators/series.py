@@ -14,15 +14,16 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.operators.noise import keyed_uniform
-from tallyflow.operators.sums import matrix_sums
+from tallyflow.operators.sums import arrow_lists, matrix_sums, vector_of
 from tallyflow.sources.storage import delete_work, durable, work_path
 
 ROWS_PER_SEGMENT = 20_000
-_STATE_BYTES = 128 << 20
+#: Bytes of states a Python worker holds at once, if more than one segment's.
+_STATE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -83,29 +84,37 @@ def pack_segments(df: DataFrame, series_id: str, t: str, x: str, y: str | None =
         F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("rows")), longest > rows_per_segment
 
 
-def _slices(pdf: pd.DataFrame, spec: SeriesSpec):
+def _slices(batch: pa.RecordBatch, spec: SeriesSpec):
     """Segments of similar length together, few enough for their states to fit in memory."""
-    order = pdf["rows"].map(len).sort_values(ascending=False, kind="stable").index
+    sizes = batch.column("rows").value_lengths().to_numpy()
+    order = np.argsort(-sizes, kind="stable")
     at = 0
     while at < len(order):
-        longest = len(pdf["rows"][order[at]])
-        step = max(1, _STATE_BYTES // (8 * longest * (spec.units + spec.inputs + 3 * spec.outputs)))
-        yield pdf.loc[order[at:at + step]]
+        step = max(1, _STATE_BYTES // (8 * int(sizes[order[at]]) * (spec.units + spec.inputs + 3 * spec.outputs)))
+        yield batch.take(pa.array(order[at:at + step]))
         at += step
 
 
-def _unpack(rows: pd.Series, spec: SeriesSpec, taught: bool):
+def _values(lists: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of ``width`` numbers as a matrix, without a Python object per row."""
+    if lists.null_count or (len(lists) and (lists.value_lengths().to_numpy() != width).any()):
+        raise ValueError(f"inputs and targets must hold {width} numbers")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+
+
+def _unpack(rows: pa.ListArray, spec: SeriesSpec, taught: bool):
     """Padded (segments, steps, ...) inputs and targets, the segment lengths and the times."""
-    n = np.array([len(r) for r in rows])
-    longest = int(n.max())
-    x = np.zeros((len(rows), longest, spec.inputs))
-    y = np.zeros((len(rows), longest, spec.outputs))
-    times = np.zeros((len(rows), longest))
-    for i, r in enumerate(rows):
-        x[i, :n[i]] = np.stack([e["x"] for e in r])
-        times[i, :n[i]] = [e["t"] for e in r]
-        if taught:
-            y[i, :n[i]] = np.stack([e["y"] for e in r])
+    n = rows.value_lengths().to_numpy()
+    each = rows.flatten()
+    step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.arange(len(n)), n), step
+    x = np.zeros((len(n), int(n.max()), spec.inputs))
+    y = np.zeros((*x.shape[:2], spec.outputs))
+    times = np.zeros(x.shape[:2])
+    x[at] = _values(each.field("x"), spec.inputs)
+    times[at] = each.field("t").to_numpy(zero_copy_only=False)
+    if taught:
+        y[at] = _values(each.field("y"), spec.outputs)
     return x, y, n, times
 
 
@@ -115,14 +124,19 @@ def noise_keys(ids: np.ndarray, times: np.ndarray) -> np.ndarray:
         return np.asarray(ids).astype(np.int64) * np.int64(1_000_003) + np.asarray(times, dtype=np.float64).view(np.int64)
 
 
-def _run(x, y, n, ids, times, state, last_y, first, spec: SeriesSpec, readout=None):
-    """States of padded segments. With ``readout`` the output feeds back instead of ``y``.
+def _starts(batch: pa.RecordBatch, spec: SeriesSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State and output before every segment, and whether it is its series' first."""
+    return _values(batch.column("state"), spec.units), _values(batch.column("prev_y"), spec.outputs), vector_of(batch, "place") == 0
+
+
+def _run(x, y, n, ids, times, state, last_y, first, spec: SeriesSpec, readout=None, keep: bool = True):
+    """States of padded segments (none without ``keep``). With ``readout`` the output feeds back instead of ``y``.
     A series' very first training row keeps the zero state."""
     w, w_in, w_fb = spec.weights()
     xs = x * spec.input_scaling + spec.input_shift
     ys = y * spec.teacher_scaling + spec.teacher_shift
     steps = x.shape[1]
-    states = np.zeros((len(x), steps, spec.units))
+    states = np.zeros((len(x), steps if keep else 0, spec.units))
     outputs = np.zeros_like(ys)
     s, prev = state.copy(), last_y.copy()
     for t in range(steps):
@@ -138,7 +152,9 @@ def _run(x, y, n, ids, times, state, last_y, first, spec: SeriesSpec, readout=No
         s = np.where(live, new, s)
         out = ys[:, t] if readout is None else np.hstack([s, xs[:, t]]) @ readout
         prev = np.where(live, out, prev)
-        states[:, t], outputs[:, t] = s, out
+        outputs[:, t] = out
+        if keep:
+            states[:, t] = s
     return states, xs, ys, outputs, s, prev
 
 
@@ -151,12 +167,11 @@ def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
 
     def ends(batches):
-        for pdf in (part for batch in batches for part in _slices(batch, spec)):
-            x, y, n, times = _unpack(pdf["rows"], spec, taught)
-            _, _, _, _, s, prev = _run(x, y, n, pdf["series_id"].to_numpy(), times,
-                                       np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
-                                       pdf["place"].to_numpy() == 0, spec, readout)
-            yield pd.DataFrame({"series_id": pdf["series_id"], "seg": pdf["seg"], "end_s": list(s), "end_y": list(prev)})
+        for part in (part for batch in batches for part in _slices(batch, spec)):
+            x, y, n, times = _unpack(part.column("rows"), spec, taught)
+            s, prev = _run(x, y, n, vector_of(part, "series_id"), times, *_starts(part, spec), spec, readout, keep=False)[4:]
+            yield pa.RecordBatch.from_arrays([part.column("series_id"), part.column("seg"), arrow_lists(s), arrow_lists(prev)],
+                                             names=["series_id", "seg", "end_s", "end_y"])
 
     schema = "series_id bigint, seg int, end_s array<double>, end_y array<double>"
     if not cut:
@@ -168,7 +183,7 @@ def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray
                 .withColumn("prev_y", F.coalesce("y0", "prev_y")).drop("s0", "y0")
         if taught:
             whole = durable(whole)
-        return whole, whole.mapInPandas(ends, schema).select(
+        return whole, whole.mapInArrow(ends, schema).select(
             "series_id", F.col("end_s").alias("state"), F.col("end_y").alias("prev_y"))
     packed = durable(packed)
     order = Window.partitionBy("series_id").orderBy("seg")
@@ -195,7 +210,7 @@ def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray
         F.array_max(F.zip_with("state", "in_s", lambda a, b: F.abs(a - b))), F.array_max(F.zip_with("prev_y", "in_y", lambda a, b: F.abs(a - b))))
 
     def run(some: DataFrame) -> DataFrame:
-        done = durable(packed.join(some, ["series_id", "seg"]).mapInPandas(ends, schema))
+        done = durable(packed.join(some, ["series_id", "seg"]).mapInArrow(ends, schema))
         if trace is not None:
             trace.append(done.count())
         return done
@@ -241,7 +256,7 @@ def _in_turn(packed: DataFrame, starts: DataFrame, reached: DataFrame, ends, sch
         passed = before.select("series_id", F.col("end_s").alias("in_s"), F.col("end_y").alias("in_y"))
         due = by_place.filter(F.col("place") == place).drop("state").join(passed, "series_id").withColumnRenamed("in_s", "state")
         due = due.drop("in_y") if taught else due.drop("prev_y").withColumnRenamed("in_y", "prev_y")
-        ran = durable(due.mapInPandas(ends, schema)).join(passed, "series_id")
+        ran = durable(due.mapInArrow(ends, schema)).join(passed, "series_id")
         known = starts.filter(F.col("place") == place).select("series_id", "seg", "place", "prev_y")
         before = durable(ran.join(known, ["series_id", "seg"]).select(
             "series_id", "seg", "place", F.col("in_s").alias("state"), (F.col("prev_y") if taught else F.col("in_y")).alias("prev_y"), "end_s", "end_y"))
@@ -299,12 +314,10 @@ def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str,
 
     def normal_equations(batch):
         total = 0.0
-        for pdf in _slices(batch.to_pandas(), spec):
-            xx, yy, n, times = _unpack(pdf["rows"], spec, True)
-            place = pdf["place"].to_numpy()
-            states, xs, ys, *_ = _run(xx, yy, n, pdf["series_id"].to_numpy(), times,
-                                      np.stack(pdf["state"].to_numpy()), np.stack(pdf["prev_y"].to_numpy()),
-                                      place == 0, spec)
+        for part in _slices(batch, spec):
+            xx, yy, n, times = _unpack(part.column("rows"), spec, True)
+            place = vector_of(part, "place")
+            states, xs, ys, *_ = _run(xx, yy, n, vector_of(part, "series_id"), times, *_starts(part, spec), spec)
             steps = np.arange(xx.shape[1])
             used = (steps[None, :] < n[:, None]) & ((place > 0)[:, None] | (steps >= spec.transient)[None, :])
             a = np.concatenate([states, xs, ys], axis=2)[used]
@@ -319,18 +332,18 @@ def series_reservoir_fit(df: DataFrame, series_id: str, t: str, x: str, y: str,
 
 def _predict(segments: DataFrame, spec: SeriesSpec, readout: np.ndarray, taught: bool) -> DataFrame:
     def run(batches):
-        for pdf in (part for batch in batches for part in _slices(batch, spec)):
-            x, y, n, times = _unpack(pdf["rows"], spec, taught)
-            states, xs, _, outputs, *_ = _run(
-                x, y, n, pdf["series_id"].to_numpy(), times, np.stack(pdf["state"].to_numpy()),
-                np.stack(pdf["prev_y"].to_numpy()), pdf["place"].to_numpy() == 0, spec, None if taught else readout)
+        for part in (part for batch in batches for part in _slices(batch, spec)):
+            x, y, n, times = _unpack(part.column("rows"), spec, taught)
+            states, xs, _, outputs, *_ = _run(x, y, n, vector_of(part, "series_id"), times, *_starts(part, spec), spec,
+                                              None if taught else readout, keep=taught)
             hat = np.concatenate([states, xs], axis=2) @ readout if taught else outputs
             hat = (hat - spec.teacher_shift) / spec.teacher_scaling
-            for i, r in enumerate(pdf["rows"]):
-                yield pd.DataFrame({"series_id": pdf["series_id"].iloc[i], "t": [e["t"] for e in r],
-                                    "y": [list(v) for v in y[i, :n[i]]], "y_hat": [list(v) for v in hat[i, :n[i]]]})
+            live = np.arange(x.shape[1]) < n[:, None]
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([part.column("series_id").take(of), pa.array(times[live], from_pandas=True),
+                                              arrow_lists(y[live]), arrow_lists(hat[live])], names=["series_id", "t", "y", "y_hat"])
 
-    out = segments.mapInPandas(run, "series_id bigint, t double, y array<double>, y_hat array<double>")
+    out = segments.mapInArrow(run, "series_id bigint, t double, y array<double>, y_hat array<double>")
     return out if taught else out.drop("y")
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +327,22 @@ def test_convolution_column_equals_batch_form(spark):
         assert np.allclose(r["maps"], r["c"]) and len(r["c"]) == 4
     two = networks.conv_bank(df, "v", networks.random_kernels([3, 2]))
     assert len(two.first()["maps"]) == 2 * 1
+
+
+def test_series_are_run_in_bounded_parts(monkeypatch):
+    """A part of a batch holds no more states than allowed, keeps long segments apart from short ones and makes no object per row."""
+    rng = np.random.default_rng(11)
+    spec = series.SeriesSpec(units=12)
+    sizes = [3, 400, 1, 399] + [5] * 200
+    rows = [[{"t": float(i), "x": [rng.normal()], "y": [rng.normal()]} for i in range(n)] for n in sizes]
+    kind = pa.list_(pa.struct([("t", pa.float64()), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(rows, kind)], names=["series_id", "rows"])
+    monkeypatch.setattr(series, "_STATE_BYTES", 50_000)
+    seen = {}
+    for part in series._slices(batch, spec):
+        x, y, n, times = series._unpack(part.column("rows"), spec, True)
+        assert len(x) == 1 or x.shape[0] * x.shape[1] * 8 * 16 <= 50_000
+        for i, s in enumerate(part.column("series_id").to_pylist()):
+            seen[s] = x[i, :n[i], 0].tolist(), y[i, :n[i], 0].tolist(), times[i, :n[i]].tolist()
+            assert not x[i, n[i]:].any() and not y[i, n[i]:].any()
+    assert seen == {s: ([e["x"][0] for e in r], [e["y"][0] for e in r], [e["t"] for e in r]) for s, r in enumerate(rows)}
