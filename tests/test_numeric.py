@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.operators import linear, neighbours, networks, noise, reservoir, series
+from tallyflow.operators import classifiers, linear, neighbours, networks, noise, reservoir, series, sums
 from tallyflow.streaming import continue_stream
 
 
@@ -346,3 +346,20 @@ def test_series_are_run_in_bounded_parts(monkeypatch):
             seen[s] = x[i, :n[i], 0].tolist(), y[i, :n[i], 0].tolist(), times[i, :n[i]].tolist()
             assert not x[i, n[i]:].any() and not y[i, n[i]:].any()
     assert seen == {s: ([e["x"][0] for e in r], [e["y"][0] for e in r], [e["t"] for e in r]) for s, r in enumerate(rows)}
+
+
+def test_sums_and_maps_take_wide_rows_in_parts(spark, monkeypatch):
+    """A batch reaches ``per_batch`` and a feature map in parts of bounded size, with nothing lost or doubled."""
+    x = np.random.default_rng(12).normal(size=(2_500, 3))
+    batch = pa.RecordBatch.from_arrays([sums.arrow_lists(x), pa.array(np.arange(2_500.0))], names=["x", "y"])
+    monkeypatch.setattr(sums, "_PART_BYTES", 4_000)
+    parts = list(sums._parts(batch))
+    assert len(parts) > 10 and all(p.nbytes <= 4_100 for p in parts)
+    assert (np.vstack([sums.matrix_of(p, "x") for p in parts]) == x).all() and np.concatenate([sums.vector_of(p, "y") for p in parts]).tolist() == list(range(2_500))
+    df = frame(spark, x).coalesce(1)
+    rng = np.random.default_rng(4)
+    w, b = rng.normal(scale=np.sqrt(1.0), size=(3, 8)), rng.uniform(0, 2 * np.pi, 8)
+    got = {r["id"]: r["z"] for r in df.select("id", classifiers.fourier_map("v", 3, 8, 0.5, 4).alias("z")).collect()}
+    want = np.sqrt(2.0 / 8) * np.cos(x @ w + b)
+    assert len(got) == 2_500 and all(np.allclose(got[i], want[i], atol=1e-12) for i in got)
+    assert classifiers._MAP_ROWS < 2_500
