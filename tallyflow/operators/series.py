@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.operators.noise import keyed_uniform
-from tallyflow.operators.sums import arrow_lists, matrix_sums, vector_of
+from tallyflow.operators.sums import matrix_sums, vector_of
 from tallyflow.sources.storage import delete_work, durable, work_path
 
 ROWS_PER_SEGMENT = 20_000
@@ -102,6 +102,11 @@ def _values(lists: pa.ListArray, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """A matrix as lists of numbers with nulls for NaN, which a null input or target makes."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64(), from_pandas=True))
+
+
 def _unpack(rows: pa.ListArray, spec: SeriesSpec, taught: bool):
     """Padded (segments, steps, ...) inputs and targets, the segment lengths and the times."""
     n = rows.value_lengths().to_numpy()
@@ -170,7 +175,7 @@ def _settle(packed: DataFrame, cut: bool, spec: SeriesSpec, readout: np.ndarray
         for part in (part for batch in batches for part in _slices(batch, spec)):
             x, y, n, times = _unpack(part.column("rows"), spec, taught)
             s, prev = _run(x, y, n, vector_of(part, "series_id"), times, *_starts(part, spec), spec, readout, keep=False)[4:]
-            yield pa.RecordBatch.from_arrays([part.column("series_id"), part.column("seg"), arrow_lists(s), arrow_lists(prev)],
+            yield pa.RecordBatch.from_arrays([part.column("series_id"), part.column("seg"), _lists(s), _lists(prev)],
                                              names=["series_id", "seg", "end_s", "end_y"])
 
     schema = "series_id bigint, seg int, end_s array<double>, end_y array<double>"
@@ -341,7 +346,7 @@ def _predict(segments: DataFrame, spec: SeriesSpec, readout: np.ndarray, taught:
             live = np.arange(x.shape[1]) < n[:, None]
             of = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([part.column("series_id").take(of), pa.array(times[live], from_pandas=True),
-                                              arrow_lists(y[live]), arrow_lists(hat[live])], names=["series_id", "t", "y", "y_hat"])
+                                              _lists(y[live]), _lists(hat[live])], names=["series_id", "t", "y", "y_hat"])
 
     out = segments.mapInArrow(run, "series_id bigint, t double, y array<double>, y_hat array<double>")
     return out if taught else out.drop("y")

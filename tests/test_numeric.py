@@ -363,3 +363,13 @@ def test_sums_and_maps_take_wide_rows_in_parts(spark, monkeypatch):
     want = np.sqrt(2.0 / 8) * np.cos(x @ w + b)
     assert len(got) == 2_500 and all(np.allclose(got[i], want[i], atol=1e-12) for i in got)
     assert classifiers._MAP_ROWS < 2_500
+
+
+def test_a_null_input_leaves_nulls_behind(spark, waves):
+    """What a missing number makes unknown is null in the results, in whole and in cut series, and no round waits for it to settle."""
+    model = series.series_reservoir_fit(waves, "s", "t", "x", "y", SPEC)
+    rows = [(1, float(t), [None if t == 305 else 0.5]) for t in range(300, 330)]
+    new = spark.createDataFrame(rows, "s long, t double, x array<double>")
+    for segment in (10_000, 8):
+        got = {r["t"]: r["y_hat"] for r in series.series_continue(model, new, "s", "t", "x", rows_per_segment=segment).collect()}
+        assert len(got) == 30 and all((v == [None]) == (t >= 305) for t, v in got.items())
