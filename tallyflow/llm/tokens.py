@@ -18,6 +18,8 @@ from tallyflow.llm.text import words
 ENCODE_BYTES = 4 << 20
 #: Distinct pieces kept by a Python worker before it starts again with none.
 REMEMBERED = 800_000
+#: Pieces encoded in one call: what the tokenizer returns for a piece takes far more memory than its ids.
+LEARNED_AT_ONCE = 8_192
 _RARE = np.zeros(256, bool)
 _RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _OTHER_SPACE = {chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
@@ -59,6 +61,10 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), LEARNED_AT_ONCE):
+            self._add(pieces[i:i + LEARNED_AT_ONCE])
+
+    def _add(self, pieces: list[str]) -> None:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         lists = [e.ids for e in got]
         n = len(self.slot)
