@@ -571,3 +571,17 @@ def test_lists_do_not_depend_on_how_captures_arrive(spark):
     assert sorted(tuple(map(str, r)) for r in url_lists.evaluate(shuffled, changes).select(*columns).collect()) == want
     named = url_lists.evaluate(stamped.withColumn("listed", F.lit("x")), changes)
     assert named.columns[-5:] == ["listed_", "list_entry", "list_category", "listed_from", "active_entries"] and named.filter("listed <> 'x'").count() == 0
+
+def test_the_encoder_learns_pieces_in_bounded_calls(monkeypatch):
+    import public_tokenizers
+    from tallyflow.llm import tokens
+
+    words = [f" w{i}x{i * 7}" for i in range(50)]
+    data, at = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0] + [len(w) for w in words])
+    whole = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(data, at)
+    sizes, enc = [], tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    add = enc._add
+    monkeypatch.setattr(tokens, "LEARNED_AT_ONCE", 7)
+    monkeypatch.setattr(enc, "_add", lambda pieces: (sizes.append(len(pieces)), add(pieces)))
+    got = enc.encode(data, at)
+    assert max(sizes) <= 7 and all((a == b).all() for a, b in zip(got, whole))
