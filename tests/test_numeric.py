@@ -181,6 +181,27 @@ def test_readout_without_a_matrix_equals_the_direct_one(spark):
             assert np.allclose(models[0][i].weights, models[1][i].weights, atol=1e-7) and np.allclose(models[0][i].bias, models[1][i].bias, atol=1e-7)
 
 
+def test_readout_without_a_matrix_takes_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    turn = np.linalg.qr(rng.normal(size=(120, 120)))[0]
+    x = (rng.normal(size=(300, 120)) * np.logspace(2, -4, 120)) @ turn  # the spread of directions falls over six powers of ten
+    df = frame(spark, x, np.arange(300) % 3).repartition(3)
+    codes = lambda y: (np.asarray(y)[:, None] == np.arange(3)).astype(float)
+    passes, summed = [], linear.matrix_sums
+    monkeypatch.setattr(linear, "matrix_sums", lambda *a: passes.append(1) or summed(*a))
+    w, b = linear.ridge_free(df, lambda batch: {0: sums.matrix_of(batch, "v")}, lambda batch: codes(sums.vector_of(batch, "y")), 1.0)[0]
+    t, c = codes(np.arange(300) % 3), x - x.mean(0)
+    exact = np.linalg.solve(c.T @ c + np.eye(120), c.T @ (t - t.mean(0)))
+    assert np.allclose(x @ w + b, c @ exact + t.mean(0), atol=1e-5)
+    assert len(passes) <= 40
+
+
+def test_readout_without_a_matrix_of_constant_features(spark):
+    df = frame(spark, np.ones((12, 6)), np.arange(12) % 2)
+    w, b = linear.ridge_free(df, lambda batch: {0: sums.matrix_of(batch, "v")}, lambda batch: sums.vector_of(batch, "y")[:, None], 1.0)[0]
+    assert not w.any() and np.allclose(b, 0.5)
+
+
 @pytest.mark.parametrize("units,k", [(50, 75), (250, 100)])
 def test_wide_embeddings(spark, units, k):
     rng = np.random.default_rng(9)
