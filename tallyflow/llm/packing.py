@@ -22,34 +22,38 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyflow.llm.frames import name_of, stored
 from tallyflow.llm.text import chunks
-from tallyflow.llm.tokens import ENCODE_BYTES, encoder, with_end
+from tallyflow.llm.tokens import encoder, with_end
 
 BUCKET_ROWS = 50_000
+#: Bytes of text encoded at once. The arrays of a chunk take a multiple of it in every worker, beside the pieces the encoder keeps.
+PACK_BYTES = 1 << 20
+
+
+def cut(batches, tokenizer: str, end: int, capacity: int):
+    """The pieces of batches of doc_id and text, a batch of pieces for every ``PACK_BYTES`` of text."""
+    for part, data, offsets in chunks(batches, "text", PACK_BYTES):
+        ids, at = with_end(*encoder(tokenizer).encode(data, offsets), end)
+        size = np.diff(at)
+        n = -(-size // capacity)
+        row = np.repeat(np.arange(size.size), n)
+        piece = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(size[row] - start, capacity)
+        raw = memoryview(ids.astype("<u4").tobytes())
+        ends = np.concatenate([[0], np.cumsum(length)])
+        crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)),
+             pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every document's pieces."""
     rows = docs.select(F.col(name_of(doc_id)).alias("doc_id"), F.coalesce(F.col(name_of(text)).cast("string"), F.lit("")).alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches):
-        for part, data, offsets in chunks(batches, "text", ENCODE_BYTES):
-            ids, at = with_end(*encoder(tokenizer).encode(data, offsets), end)
-            size = np.diff(at)
-            n = -(-size // capacity)
-            row = np.repeat(np.arange(size.size), n)
-            piece = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
-            start = piece * capacity
-            length = np.minimum(size[row] - start, capacity)
-            raw = memoryview(ids.astype("<u4").tobytes())
-            ends = np.concatenate([[0], np.cumsum(length)])
-            crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)),
-                 pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-
-    return rows.mapInArrow(cut, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    return rows.mapInArrow(lambda batches: cut(batches, tokenizer, end, capacity),
+                           f"doc_id {key}, piece int, start long, length long, ids_crc32 long, ids array<int>")
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:

@@ -8,6 +8,7 @@ Strings of special tokens inside a text are ordinary text. Equality with whole-t
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +75,8 @@ class Encoder:
         while self.ids.size < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.at[n + 1:n + 1 + len(lists)] = ends
-        self.ids[self.at[n]:ends[-1]] = np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1] - self.at[n]))
-        for i, piece in enumerate(pieces):
-            self.slot[piece] = n + i
+        self.ids[self.at[n]:ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1] - self.at[n]))
+        self.slot.update(zip(pieces, range(n, n + len(pieces))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and row offsets in them."""
@@ -95,7 +95,7 @@ class Encoder:
         new = [p for p in distinct if p not in self.slot]
         if new:
             self._learn(new)
-        slots = np.fromiter((self.slot[p] for p in distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
         size = self.at[slots + 1] - self.at[slots]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.at[slots] - (ends - size), size) + np.arange(ends[-1])]

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -585,3 +586,21 @@ def test_the_encoder_learns_pieces_in_bounded_calls(monkeypatch):
     monkeypatch.setattr(enc, "_add", lambda pieces: (sizes.append(len(pieces)), add(pieces)))
     got = enc.encode(data, at)
     assert max(sizes) <= 7 and all((a == b).all() for a, b in zip(got, whole))
+
+
+def test_packing_encodes_in_small_chunks():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(500)])
+    texts = [" ".join(rng.choice(words, 2_000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(500), "text": texts})
+    path = public_tokenizers.path("word_bpe_49k.json")
+    list(packing.cut(iter([batch.slice(0, 1)]), path, 1, 4096))  # load the encoder
+    tracemalloc.start()
+    rows = n_tokens = 0
+    for made in packing.cut(iter([batch]), path, 1, 4096):
+        rows += len(set(made.column("doc_id").to_pylist()))
+        n_tokens += len(made.column("ids").flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 500 and n_tokens > 1_000_000
+    assert peak < 60 << 20
