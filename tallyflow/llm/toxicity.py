@@ -6,7 +6,7 @@ evidence (0 to 1) is how surely its share among toxic examples differs from that
 Labelled examples are sparse vectors of unit length, so a copy of one has cosine 1 with it. Equal vectors are one entry with its counts of
 labels, so ties at the k-th neighbour count whole. Entries are laid out by their heaviest term and cut into blocks; the
 inverted index keeps for every term its postings and, for the blocks it occurs in, the largest weight. A query bounds every block by these
-maxima, opens blocks in falling order of bound and stops when the next bound is below the k-th cosine: the result is exact.
+maxima, opens the few of highest bound, then those whose bound is not below the k-th cosine found so far: the result is exact.
 Votes weigh 1 / (distance + 0.05) and are drawn to the share of toxic labels. A logistic curve, fitted
 on the whole sample with each example's own vote left out, turns votes into probabilities.
 
@@ -31,6 +31,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIXES = (4, 5, 6, 7)
 BLOCK = 64
+#: Blocks that a query opens first, to learn how near its neighbours are at least.
+FIRST_BLOCKS = 4
+#: Share of blocks from which on whole postings are read, which takes less than choosing their parts.
+WHOLE = 0.6
 _FILTER = 1 << 20
 _MARK = np.uint64(_FILTER - 1)
 
@@ -47,11 +51,10 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after the other, and the range of each."""
-    size = high - low
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of ``size`` from ``low`` on, one after the other."""
     ends = np.cumsum(size)
-    return np.arange(ends[-1] if size.size else 0) + np.repeat(low - (ends - size), size), np.repeat(np.arange(size.size), size)
+    return np.arange(ends[-1] if size.size else 0) + np.repeat(low - (ends - size), size)
 
 
 @dataclass
@@ -107,9 +110,9 @@ class Examples:
         new = np.append(True, (term[1:] != term[:-1]) | (entry[1:] // BLOCK != entry[:-1] // BLOCK))
         self.piece_from = np.append(np.flatnonzero(new), term.size)  # postings of a term in a block
         self.piece_at = np.searchsorted(term[new], np.arange(self.vocabulary.hashes.size + 1))  # pieces of a term
-        self.piece_block = (entry[new] // BLOCK).astype(np.int32)
+        self.piece_block = entry[new] // BLOCK
         self.piece_max = np.maximum.reduceat(weight, self.piece_from[:-1])
-        self.posting_entry, self.posting_weight = entry.astype(np.int32), weight
+        self.posting_entry, self.posting_weight = entry, weight
         place = np.empty(order.size, np.int64)
         place[order] = np.arange(order.size)
         return place
@@ -117,25 +120,25 @@ class Examples:
     def neighbours(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Entries among the k nearest examples (ties whole) and their cosines; ``without`` has one example less."""
         blocks = -(-self.total.size // BLOCK)
-        piece, of = _ranges(self.piece_at[term], self.piece_at[term + 1])
-        block, q = self.piece_block[piece], weight[of]
+        low = self.piece_at[term]
+        size = self.piece_at[term + 1] - low
+        piece, q = _ranges(low, size), np.repeat(weight, size)
+        block = self.piece_block[piece]
         bound = np.bincount(block, q * self.piece_max[piece], blocks)
         order = np.argsort(-bound, kind="stable")
         left = np.append(self.total, np.zeros(blocks * BLOCK - self.total.size))
         if without >= 0:
             left[without] -= 1
-        entries, cosines, least, opened, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 1
+        entries, cosines, least, opened, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST_BLOCKS
         while opened < blocks and bound[order[opened]] > 0 and bound[order[opened]] >= least - 1e-12:
             now = order[opened:opened + step]
             now = now[bound[now] >= max(least - 1e-12, 1e-300)]
             opened += step
-            step *= 2
+            step = blocks
             open_ = np.zeros(blocks, bool)
             open_[now] = True
-            some = np.flatnonzero(open_[block])
-            posting, at = _ranges(self.piece_from[piece[some]], self.piece_from[piece[some] + 1])
-            sums = np.bincount(self.posting_entry[posting], q[some][at] * self.posting_weight[posting], blocks * BLOCK)
-            found = np.flatnonzero((sums > 0) & (left > 0))
+            sums = self._cosines(term, weight) if now.size > WHOLE * blocks else self._cosines_of(piece, q, open_[block])
+            found = np.flatnonzero((sums > 0) & (sums >= least - 1e-12) & (left > 0) & np.repeat(open_, BLOCK))
             entries, cosines = np.concatenate([entries, found]), np.concatenate([cosines, sums[found]])
             rank = np.argsort(-cosines, kind="stable")
             entries, cosines = entries[rank], cosines[rank]
@@ -144,7 +147,29 @@ class Examples:
                 least = cosines[enough]
                 stay = cosines >= least - 1e-12
                 entries, cosines = entries[stay], cosines[stay]
-        return entries, cosines
+        # equal cosines: blocks of higher bound first, in groups of 1, 2, 4, ..., then by entry
+        group = np.empty(blocks, np.int64)
+        group[order] = np.frexp(np.arange(1, blocks + 1))[1]
+        rank = np.lexsort((entries, group[entries // BLOCK], -cosines))
+        return entries[rank], cosines[rank]
+
+    def _cosines(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of all entries."""
+        start = self.piece_from[self.piece_at[term]]
+        size = self.piece_from[self.piece_at[term + 1]] - start
+        posting = _ranges(start, size)
+        return self._sums(posting, np.repeat(weight, size))
+
+    def _cosines_of(self, piece: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Cosines of the entries of the blocks whose pieces are ``chosen``, and 0 for others."""
+        some = np.flatnonzero(chosen)
+        start = self.piece_from[piece[some]]
+        size = self.piece_from[piece[some] + 1] - start
+        return self._sums(_ranges(start, size), np.repeat(weight[some], size))
+
+    def _sums(self, posting: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        blocks = -(-self.total.size // BLOCK)
+        return np.bincount(self.posting_entry[posting], weight * self.posting_weight[posting], blocks * BLOCK)
 
     def votes(self, term: np.ndarray, n: np.ndarray, without: int = -1, own: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic votes, and the entries and cosines behind it. One example of label ``own`` of the entry ``without`` has no vote."""

@@ -604,3 +604,24 @@ def test_packing_encodes_in_small_chunks():
     tracemalloc.stop()
     assert rows == 500 and n_tokens > 1_000_000
     assert peak < 60 << 20
+
+
+def test_search_reads_postings_twice_at_most(monkeypatch):
+    """Examples that hardly differ, so that no block can be ruled out: a round for every doubling of blocks was made before."""
+    rng = np.random.default_rng(31)
+    v, n = 60, 1_500
+    model = toxicity.Examples(toxicity.Vocabulary(np.arange(v, dtype=np.uint64)), np.ones(v), k=5)
+    vectors = [model.vector(np.arange(v), rng.integers(1, 4, v)) for _ in range(n)]
+    model.build(vectors, np.ones(n), np.zeros(n), np.arange(n))
+    dense = np.zeros((n, v))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    reads, bincount = [], np.bincount
+    monkeypatch.setattr(toxicity.np, "bincount", lambda *a: reads.append(1) or bincount(*a))
+    for _ in range(20):
+        t, w = model.vector(np.arange(v), rng.integers(1, 4, v))
+        reads.clear()
+        entries, cosines = model.neighbours(t, w)
+        assert len(reads) <= 3  # the bounds, the first blocks, the rest
+        full = dense @ w
+        assert set(model.example[entries]) == set(np.argsort(-full)[:5]) and np.allclose(cosines, np.sort(full)[::-1][:5])
