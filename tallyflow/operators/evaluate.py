@@ -66,11 +66,12 @@ def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     return per.select("class", *metric, "support").unionByName(summary)
 
 
-def log_loss(df: DataFrame, y: str, prob: str, eps: float = 1e-15) -> DataFrame:
-    """Mean negative log probability of the true class; ``prob`` is an array per class code."""
+def log_loss(df: DataFrame, y: str, prob: str, eps: float = 1e-15, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean negative log probability of the true class, per group of ``by`` if given; ``prob`` is an array per class code."""
     p = F.element_at(F.col(prob), F.col(y).cast("int") + 1)
     held = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p))
-    return df.agg((-F.avg(F.log(held))).alias("log_loss"))
+    mean = (-F.avg(F.log(held))).alias("log_loss")
+    return df.groupBy(*by).agg(mean) if by else df.agg(mean)
 
 
 def binary_log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:

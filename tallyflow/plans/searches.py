@@ -5,9 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyflow.operators import classifiers as clf
-from tallyflow.operators import evaluate, reservoir, search
-from tallyflow.plans.models import VOTERS, halves, vectors, vote_parts
+from tallyflow.operators import reservoir, search, votes
+from tallyflow.plans.models import halves, vectors
 from tallyflow.plans.registry import draw_sql, query, r6, table
 from tallyflow.sources.storage import durable
 
@@ -227,26 +226,26 @@ def _(spark, sf):
     return search.search_trace(history)
 
 
-# trees, SVM penalty, logistic penalty, logistic iterations, neighbours
-VOTE_SPACE = (search.Dim("int", 5, 20), search.Dim("uniform", 0.1, 7.0), search.Dim("uniform", 0.1, 7.0),
-              search.Dim("int", 10, 60), search.Dim("int", 5, 50))
+# trees, SVM penalty, logistic penalty, logistic steps, neighbours; ranges, swarm and generations as in the searched ensemble
+VOTE_SPACE = (search.Dim("int", 100, 499), search.Dim("uniform", 0.1, 7.0), search.Dim("uniform", 0.1, 7.0),
+              search.Dim("int", 10, 999), search.Dim("int", 10, 99))
+VOTE_POP, VOTE_GENS = 100, 20
 
 
 def vote_objective(train, test, classes):
-    """Log loss of the soft-voting ensemble per parameter set."""
-    n = train.count()
+    """Log loss of the soft-voting ensemble per parameter set, all sets of a generation together."""
+    made = votes.VoteSearch(train, test, "vec", "y", "row_id", classes)
 
-    def one(p):
-        parts = vote_parts(train, test, classes, n, svm_c=p[1], trees=max(1, int(p[0])), lr_c=max(p[2], 1e-3),
-                           lr_iter=max(1, int(p[3])), k=max(1, int(p[4])))
-        return evaluate.log_loss(clf.soft_vote(parts, VOTERS), "y", "probability").first()[0]
+    def setting(p):
+        return votes.Setting(max(p[1], 1e-6), max(1, int(p[0])), max(p[2], 1e-3), max(1, int(p[3])), max(1, int(p[4])))
 
-    return lambda points: [one(p) for p in points]
+    return lambda points: made.losses([setting(p) for p in points])
 
 
 @query("search_vote")
 def _(spark, sf):
+    """The whole swarm. Its particles keep no velocity, so nothing carries them ever further out."""
     train, test = halves(durable(vectors(spark, sf, classes=2)))
-    _, _, history = search.population_search(spark, VOTE_SPACE, vote_objective(train, test, 2), "pso2", 2, 1, seed=1,
-                                             whole=[True, False, True, True, True], redraw=[False] * 4 + [True])
+    _, _, history = search.population_search(spark, VOTE_SPACE, vote_objective(train, test, 2), "pso2", VOTE_POP, VOTE_GENS, seed=1,
+                                             whole=[True, False, True, True, True], redraw=[False] * 4 + [True], w=0.0)
     return search.search_trace(history)
