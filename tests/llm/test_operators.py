@@ -433,6 +433,68 @@ def test_language_model_starts_from_every_text(spark, monkeypatch):
     assert sizes == [60] * 4
 
 
+def plain_pass(texts, start, move, emit):
+    """One Baum-Welch pass over whole sequences of words, in a loop: expected (word, state), (state, next state) and first states."""
+    counts, moves, first = Counter(), np.zeros_like(move), np.zeros_like(start)
+    for ws in texts:
+        e = np.array([emit(w) for w in ws])
+        a, b = [start * e[0]], [np.ones(len(start))]
+        for x in e[1:]:
+            a.append((a[-1] @ move) * x)
+        for x in e[:0:-1]:
+            b.append(move @ (x * b[-1]))
+        a, b = np.array(a), np.array(b[::-1])
+        p = a[-1].sum()
+        for t, w in enumerate(ws):
+            counts[w] = counts[w] + a[t] * b[t] / p
+        for t in range(len(ws) - 1):
+            moves += np.outer(a[t], e[t + 1] * b[t + 1]) * move / p
+        first += a[0] * b[0] / p
+    return counts, moves, first
+
+
+def test_language_model_has_emissions_for_every_word(spark, monkeypatch):
+    """Two passes of Baum-Welch over whole texts and the score, against loops, with three words held by the driver, the others in two buckets."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["red", "green"] + [f"w{i}" for i in range(i % 2, 14, 2)], rng.integers(4, 9))) for i in range(40)] + ["red " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(hmm, "_BUCKET", 8), monkeypatch.setattr(hmm, "_BLOCK", 40)
+    begun = []
+    whole = hmm._whole_pass
+    monkeypatch.setattr(hmm, "_whole_pass", lambda encoded, model, base, known: (begun.append((model.hmm, base)), whole(encoded, model, base, known)))
+    model, counts = hmm.fit(docs, every(), states=2, symbols=3, rounds=3, passes=2)
+    count = Counter(w for t in texts for w in t.split() + [None])
+    start, base = begun[0]
+    key = {int(h): i for i, h in enumerate(model.frequent)}
+    hash_of = lambda w: hmm.END if w is None else hmm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
+    symbol = {w: key.get(int(hash_of(w)), len(key)) for w in count}
+    rare = [w for w in count if symbol[w] == len(key)]
+    assert 3 <= len(key) <= 4 and len(rare) > 8 and model.bits > 0
+
+    def emission(at, counted):
+        held = sum(counted[w] for w in rare) + (len(rare) + 1) / 2 if counted else None
+        return lambda w: at.emit[symbol[w]] * (1.0 if symbol[w] < len(key) or counted is None else (counted.get(w, 0) + 0.5) / held) if w in symbol else at.emit[len(key)] * 0.5 / held
+
+    now, counted = start, None
+    for _ in range(2):
+        counted, moves, first = plain_pass([t.split() + [None] for t in texts], now.start, now.move, emission(now, counted))
+        table = np.zeros((len(key) + 1, 2))
+        for w in count:
+            table[symbol[w]] += counted[w]
+        now = now.updated(table, moves, first, base)
+    assert np.allclose(model.hmm.emit, now.emit, rtol=1e-4) and np.allclose(model.hmm.move, now.move, rtol=1e-4) and np.allclose(model.hmm.start, now.start, rtol=1e-4)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:6], "red never w3", ""])], "doc_id long, text string")
+    emit = emission(now, counted)
+    for r in hmm.score(asked, model, counts).collect():
+        ws = asked.filter(f"doc_id = {r['doc_id']}").first()["text"].split() + [None]
+        a = now.start * emit(ws[0])
+        for w in ws[1:]:
+            a = (a @ now.move) * emit(w)
+        assert np.isclose(r["score"], np.log10(a.sum()), rtol=1e-4) and r["n_known"] == sum(count[w] > 0 for w in ws)
+    profile = np.concatenate([hmm._long(r["e"], 2) for r in model.own.collect()])
+    assert len(profile) == len(rare) and np.ptp(profile[:, 1] / profile.sum(axis=1)) > 1e-6
+
+
 def test_simhash(spark, documents, odd, none):
     rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in simhash.edited_pairs(documents).collect()}
