@@ -100,3 +100,24 @@ def test_refused_input(spark):
         Task(0.0)
     with pytest.raises(ValueError):
         margins.fit_margins(df, "vec", "y", [Task(1.0, "l2", 1)], 2)
+
+
+def test_kernel_machines_hold_rows_as_they_are(spark, monkeypatch):
+    """The fit is that of a column of mapped rows, but what it holds has the width of the rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2500, 3))
+    rows = spark.createDataFrame([(i, [float(v) for v in r], float((r[0] * r[1] > 0) + (r[2] > 1)), i % 2) for i, r in enumerate(x)], "row_id long, vec array<double>, y double, fold int").repartition(2)
+    mapped = rows.withColumn("z", array_to_vector(clf.fourier_map("vec", 3, 40, 0.5, 0)))
+    want = [margins.fit_linear(mapped, "z"), margins.fit_linear_folds(mapped, "fold", "z")]
+    widths, held = [], margins.held
+
+    def spy(df):
+        widths.append(df.select(F.max(F.size("x"))).first()[0])
+        return held(df)
+
+    monkeypatch.setattr(margins, "held", spy)
+    got = [clf.fit_rbf_svm(rows, "vec", gamma=0.5, size=40).model, clf.rbf_svm_folds(rows, "fold", "vec", gamma=0.5, size=40).model]
+    clf.fit_poly_svm(rows, "vec", size=40)
+    assert widths == [3, 3, 3]
+    for a, b in zip(got, want):
+        assert np.allclose(a.weights, b.weights, atol=1e-5) and np.allclose(a.bias, b.bias, atol=1e-5)
